@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from quarry.llm import (
+    line_dedup,
     quality_rules,
     source_mix,
+    token_counts,
 )
 
 
 def queries():
     return {
+        "op2_token_counts": token_counts.query,
         "op5_mix_sources": source_mix.query,
         "op6_quality_rules": quality_rules.query,
+        "op9_line_dedup": line_dedup.query,
     }
 
 
@@ -19,4 +23,5 @@ def oracle_sql():
     return {
         "op5_mix_sources": source_mix.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
+        "op9_line_dedup": line_dedup.ORACLE_SQL,
     }
