@@ -256,10 +256,11 @@ def _expect(x: Lattice, p: np.ndarray, code: np.ndarray, n: np.ndarray, counts:
     alpha[:, 0] = 1
     beta[np.arange(x.n_words), x.length] = 1
     for s, (w, e, _, r) in enumerate(own):
-        np.add.at(alpha, (w, e), alpha[w, s] * r)
+        if len(w):
+            np.add.at(alpha, (w, e), alpha[w, s] * r)
     for s in range(len(own) - 1, -1, -1):
         w, e, _, r = own[s]
-        if len(w) and s <= longest:
+        if len(w):
             beta[:, s] += np.bincount(w, r * beta[w, e], x.n_words)
     total = alpha[np.arange(x.n_words), x.length]
     for s, (w, e, q, r) in enumerate(own):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from quarry.llm import (
+    jaccard_join,
+    language_id,
     line_dedup,
     quality_rules,
     source_mix,
@@ -15,6 +17,8 @@ def queries():
         "op2_token_counts": token_counts.query,
         "op5_mix_sources": source_mix.query,
         "op6_quality_rules": quality_rules.query,
+        "op7_language_id": language_id.query,
+        "op8_jaccard_join": jaccard_join.query,
         "op9_line_dedup": line_dedup.query,
     }
 
