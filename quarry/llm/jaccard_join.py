@@ -16,7 +16,9 @@ no linked pair is lost.
 Sketches travel packed, (bucket, bytes), and meet in one bucket by sort.  Equal sets meet
 everywhere, and count once, by their smallest doc_id.  Runs of equal
 sketches up to `WIDE` sets give all their pairs; longer runs give each set's `WIDE`
-neighbours and are written down as wide.  A candidate counts when its two texts are compared
+neighbours and are written down as wide.  A pair's equal blocks are counted; as a set with f
+full blocks equals a partner in at least f - (|A| + |B|) / 7 of them, pairs with fewer, their wide runs
+counted in, are no candidates.  Candidates' texts are compared
 exactly: first each document's partner with most equal blocks, then all other candidates that
 are not yet in one component.  Pairs of wide runs that are still in two components and
 that the pigeonhole can't rule out come last, all of them, exactly.
@@ -45,6 +47,7 @@ WIDE = 8
 _U = np.uint64
 _HALF = _U(32)
 _LOW = _U((1 << 40) - 1)
+_KEY = _U(0x5851F42D4C957F2D)
 
 
 def band_edges(most: int = 1 << 40) -> np.ndarray:
@@ -69,37 +72,36 @@ def _sketches(s: np.ndarray, key: np.ndarray, doc: np.ndarray, m: np.ndarray, sa
         return mix(parity + mix(salt[at] + block[at])), doc[at]
 
 
-def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All (sketch, index of its set) of some sets."""
+def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sketches, their entries; set and full blocks by entry): set i is entry 2 i in its band, 2 i + 1 in the next."""
     size = np.array([len(x) for x in sets], np.int64)
+    full = np.zeros(2 * len(sets), np.int64)
     if not size.sum():
-        return np.zeros(0, _U), np.zeros(0, np.int64)
+        return np.zeros(0, _U), np.zeros(0, np.int64), size, full
     s = np.concatenate(sets)
     doc = np.repeat(np.arange(len(sets)), size)
-    key = mix(s ^ _U(0x5851F42D4C957F2D))
+    key = mix(s ^ _KEY)
     band = np.maximum(0, np.searchsorted(EDGES, size, "right") - 1)
     up = np.where(3 * EDGES[band + 1] <= 4 * size, band + 1, -1)
     out, owner = [], []
-    for space in (band, up):
+    for role, space in enumerate((band, up)):
         take = (space >= 0) & (size > 0)
         part = take[doc]
         d = doc[part]
         sk, own = _sketches(s[part], key[part], d, BLOCKS[space][d], space[d].astype(_U) << _U(8))
         out.append(sk)
-        owner.append(own)
-        full = np.bincount(own, minlength=len(sets))
-        for i in np.flatnonzero(take & (full <= size // 3)).tolist():
-            level = 0
-            while True:
-                level += 1
+        owner.append(2 * own + role)
+        full[role::2] = np.bincount(own, minlength=len(sets))
+        for i in np.flatnonzero(take & (full[role::2] <= size // 3)).tolist():
+            for level in range(1, 256):
                 h = np.sort(mix(sets[i] + _U(level)))
                 one = np.zeros(len(h), np.int64)
-                sk, _ = _sketches(h, mix(h ^ _U(0x5851F42D4C957F2D)), one, np.full(len(h), BLOCKS[space[i]]), np.full(len(h), (int(space[i]) << 8) + level, _U))
+                sk, _ = _sketches(h, mix(h ^ _KEY), one, np.full(len(h), BLOCKS[space[i]]), np.full(len(h), (int(space[i]) << 8) + level, _U))
                 out.append(sk)
-                owner.append(np.full(len(sk), i))
-                if len(sk) > size[i] // 3 or level == 255:
+                owner.append(np.full(len(sk), 2 * i + role))
+                if len(sk) > size[i] // 3:
                     break
-    return np.concatenate(out), np.concatenate(owner)
+    return np.concatenate(out), np.concatenate(owner), size, full
 
 
 def _sets(column: pa.Array) -> list[np.ndarray]:
@@ -130,17 +132,19 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, n sketches, bytes): the sketches of some documents that fall into a bucket."""
 
     def pack(ids: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
-        sk, owner = sketches(sets)
-        keys, size = _set_keys(sets), np.array([len(x) for x in sets], np.uint32)
+        sk, owner, size, full = sketches(sets)
+        keys = (_set_keys(sets) & _U(0xFFFFFFFF)).astype("<u4")
         bucket = (((sk >> _HALF) * _U(buckets)) >> _HALF).astype(np.int64)
         order = np.lexsort((owner, bucket))
         sk, owner, bucket = sk[order], owner[order], bucket[order]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
         rows = []
         for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
-            docs_, n = np.unique(owner[a:z], return_counts=True)
+            entry, n = np.unique(owner[a:z], return_counts=True)
+            d = entry // 2
             low = (sk[a:z] & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            rows.append(b"".join([len(docs_).to_bytes(4, "little"), np.diff(ids[docs_], prepend=0).tobytes(), n.astype("<u4").tobytes(), size[docs_].tobytes(), (keys[docs_] & _U(0xFFFFFFFF)).astype("<u4").tobytes(), low.tobytes()]))
+            each = [n, size[d], 2 * full[entry] + entry % 2, keys[d]]
+            rows.append(b"".join([len(d).to_bytes(4, "little"), np.diff(ids[d], prepend=0).tobytes(), *[x.astype("<u4").tobytes() for x in each], low.tobytes()]))
         return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,54 +158,51 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket long, packed binary")
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    """sketch, doc_id, shingles, 2 x full blocks + role, set key: by sketch."""
     d = int.from_bytes(blob[:4], "little")
-    at = 4
-    ids = np.cumsum(np.frombuffer(blob, "<i8", d, at))
-    at += 8 * d
-    n, size, key = (np.frombuffer(blob, "<u4", d, at + 4 * d * i) for i in range(3))
-    at += 12 * d
-    low = np.frombuffer(blob, np.uint8, -1, at).reshape(-1, 5)
+    ids = np.cumsum(np.frombuffer(blob, "<i8", d, 4))
+    n, *each = (np.frombuffer(blob, "<u4", d, 4 + 8 * d + 4 * d * i) for i in range(4))
+    low = np.frombuffer(blob, np.uint8, -1, 4 + 24 * d).reshape(-1, 5)
     sk = np.zeros((len(low), 8), np.uint8)
     sk[:, :5] = low
     rep = np.repeat(np.arange(d), n)
-    return sk.reshape(-1).view("<u8"), ids[rep], size[rep].astype(np.int64), key[rep]
+    return [sk.reshape(-1).view("<u8"), ids[rep], *[x[rep].astype(np.int64) for x in each]]
 
 
-def _runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a, b, equal blocks) of one bucket, and its wide runs (a set, a run)."""
+def _runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of one bucket: rows (a, b, equal blocks, least number) of pairs, and (a, sketch, -1, spare blocks) of wide runs' sets."""
     parts = [_unpack(x) for x in blobs]
-    sk, doc, size, key = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    sk, *cols = (np.concatenate([p[i] for p in parts]) for i in range(5))
     order = np.argsort(sk, kind="stable")
     sk = sk[order]
     same = np.zeros(len(sk), bool)
     same[1:] = sk[1:] == sk[:-1]
     same[:-1] |= same[1:].copy()
-    order, sk = order[same], sk[same]
-    doc, size, key = doc[order], size[order], key[order]
+    sk, (doc, size, full, key) = sk[same], (x[order][same] for x in cols)
     # equal sets of a run: the smallest doc_id stands for them
     order = np.lexsort((doc, key, size, sk))
-    sk, doc, size, key = sk[order], doc[order], size[order], key[order]
+    sk, doc, size, full, key = (x[order] for x in (sk, doc, size, full, key))
     first = np.ones(len(sk), bool)
     first[1:] = (sk[1:] != sk[:-1]) | (size[1:] != size[:-1]) | (key[1:] != key[:-1])
-    sk, doc, size = sk[first], doc[first], size[first]
-    pairs = [np.zeros((0, 2), np.int64)]
-    for step in range(1, WIDE + 1):
-        if len(sk) <= step:
-            break
-        ok = (sk[step:] == sk[:-step]) & (4 * size[:-step] >= 3 * size[step:]) & (doc[step:] != doc[:-step])
-        pairs.append(np.stack([doc[:-step][ok], doc[step:][ok]], 1))
-    found = np.concatenate(pairs)
-    found.sort(axis=1)
-    found, n = np.unique(found, axis=0, return_counts=True) if len(found) else (found, np.zeros(0, np.int64))
+    sk, doc, size, role, full = sk[first], doc[first], size[first], full[first] % 2, full[first] // 2
+    rows = [np.zeros((0, 3), np.int64)]
+    for step in range(1, min(WIDE + 1, len(sk))):
+        # two sets of one band meet there, not in the next band again
+        ok = (sk[step:] == sk[:-step]) & (4 * size[:-step] >= 3 * size[step:]) & (doc[step:] != doc[:-step]) & (role[step:] + role[:-step] < 2)
+        x, y = doc[:-step][ok], doc[step:][ok]
+        need = np.maximum(full[:-step], full[step:]) - (size[:-step] + size[step:]) // 7
+        rows.append(np.column_stack([np.minimum(x, y), np.maximum(x, y), need[ok]]))
+    rows = np.concatenate(rows)
+    pairs, n = np.unique(rows, axis=0, return_counts=True) if len(rows) else (rows, np.zeros(0, np.int64))
     at = np.flatnonzero(np.concatenate(([True], sk[1:] != sk[:-1]))) if len(sk) else np.zeros(0, np.int64)
     length = np.diff(np.append(at, len(sk)))
     wide = np.repeat(length > WIDE + 1, length)
-    return np.column_stack([found, n]), doc[wide], sk[wide]
+    return np.column_stack([pairs[:, :2], n, pairs[:, 2]]), np.column_stack([doc[wide], sk[wide].view(np.int64), np.full(wide.sum(), -1), (full - size // 3)[wide]])
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Rows (a, b, n): two documents with n equal sketches; and, with n = -1, (a: document, b: wide run)."""
+    """Rows (a, b, n, need): two documents with n equal sketches; and, with n = -1, (a: document, b: wide run)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
 
@@ -210,14 +211,13 @@ def candidates(docs: DataFrame) -> DataFrame:
         kept: list[np.ndarray] = []
 
         def out(bucket, blobs):
-            pairs, doc, sk = _runs(blobs)
-            with np.errstate(over="ignore"):
-                runs = (sk * _U(buckets) + _U(bucket)).view(np.int64)
-            return np.concatenate([pairs, np.column_stack([doc, runs, np.full(len(doc), -1)])])
+            pairs, wide = _runs(blobs)
+            wide[:, 1] = wide[:, 1] * buckets + bucket
+            return np.concatenate([pairs, wide])
 
         def batch(rows):
             rows = np.concatenate(rows)
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(3)], names=["a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(4)], names=["a", "b", "n", "need"])
 
         for b in batches:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1)):
@@ -235,7 +235,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             yield batch(kept)
 
     dealt = packed(docs, buckets).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "a long, b long, n long")
+    return dealt.mapInArrow(run, "a long, b long, n long, need long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -274,13 +274,13 @@ def _label(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return with_b.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _wide_pairs(wide: DataFrame, roots: DataFrame, docs_blocks: DataFrame) -> DataFrame:
-    """Pairs of wide runs in two components that equal narrow sketches can't have shown.
+def _wide_pairs(wide: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of wide runs in two components that narrow runs can't have shown.
 
-    A set of which more than a third as many full blocks as it has shingles are in narrow
-    runs has met all its partners there.
+    A set with more than a third as many full blocks in narrow runs as it has shingles has met
+    all its partners there.
     """
-    weak = wide.groupBy("a").agg(F.count(F.lit(1)).alias("n_wide")).join(docs_blocks, "a").filter(F.col("n_full") - F.col("n_wide") <= F.floor(F.col("n") / 3)).select("a")
+    weak = wide.groupBy("a").agg(F.count(F.lit(1)).alias("n_wide"), F.min("need").alias("spare")).filter("n_wide >= spare").select("a")
     left = wide.join(weak, "a", "left_semi").join(roots.select(F.col("id").alias("a"), "root"), "a", "left").select(F.col("a").alias("x"), "b", F.coalesce("root", "a").alias("r"))
     mixed = left.groupBy("b").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo < hi").select("b")
     left = left.join(mixed, "b", "left_semi")
@@ -288,29 +288,17 @@ def _wide_pairs(wide: DataFrame, roots: DataFrame, docs_blocks: DataFrame) -> Da
     return left.join(right, "b").filter("x < y and r <> s").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
-def full_blocks(docs: DataFrame) -> DataFrame:
-    """(a, n, n_full): a document's shingles, and full blocks in the poorer of its bands on the first level."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = _sets(b.column(1))
-            full = []
-            for x in sets:
-                band = max(0, int(np.searchsorted(EDGES, len(x), "right")) - 1)
-                spaces = [band] + ([band + 1] if 3 * EDGES[band + 1] <= 4 * len(x) else [])
-                full.append(min((len(np.unique(((x >> _HALF) * _U(BLOCKS[s])) >> _HALF)) for s in spaces), default=0))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(full, pa.int64())], names=["a", "n", "n_full"])
-
-    return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "a long, n long, n_full long")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     counts = cut(shingle_counts(docs))
     classes = counts.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "key", "key2").agg(F.min("doc_id").alias("rep"))
-    found = cut(candidates(docs).groupBy("a", "b", F.col("n") < 0).agg(F.sum("n").alias("n")).select("a", "b", "n"))
-    pairs, wide = found.filter("n > 0"), found.filter("n < 0")
+    found = cut(candidates(docs).groupBy("a", "b", (F.col("n") < 0).alias("wide")).agg(F.sum("n").alias("n"), F.min("need").alias("need")))
+    wide = found.filter("wide").select("a", "b", "need")
+    of_wide = wide.groupBy("a").agg(F.count(F.lit(1)).alias("n_wide"))
+    pairs = found.filter("not wide").join(of_wide.withColumnRenamed("n_wide", "wa"), "a", "left")
+    pairs = pairs.join(of_wide.select(F.col("a").alias("b"), F.col("n_wide").alias("wb")), "b", "left")
+    pairs = pairs.filter(F.col("n") + F.least(F.coalesce("wa", F.lit(0)), F.coalesce("wb", F.lit(0))) >= F.col("need")).select("a", "b", "n")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
     links = cut(verified(docs, best))
     roots = components(links)
@@ -318,12 +306,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other = cut(verified(docs, _label(pairs.join(best, ["a", "b"], "left_anti"), roots)))
     links = links.union(other)
     roots = components(links)
-    if not wide.isEmpty():
-        members = wide.select("a").distinct()
-        rest = cut(_wide_pairs(wide, roots, full_blocks(docs.join(members, docs.doc_id == members.a, "left_semi"))))
-        if not rest.isEmpty():
-            links = links.union(verified(docs, rest))
-            roots = components(links)
+    rest = cut(_wide_pairs(wide, roots))
+    if not rest.isEmpty():
+        links = links.union(verified(docs, rest))
+        roots = components(links)
     of_class = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "key", "key2", F.coalesce("root", "rep").alias("component_id"))
     # exact copies share one class row; a large class is a join's split side, not a group
     return (
