@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quarry.llm import (
+    decontamination,
     jaccard_join,
     language_id,
     line_dedup,
@@ -20,6 +21,7 @@ def queries():
         "op7_language_id": language_id.query,
         "op8_jaccard_join": jaccard_join.query,
         "op9_line_dedup": line_dedup.query,
+        "op10_decontamination": decontamination.query,
     }
 
 
@@ -28,4 +30,5 @@ def oracle_sql():
         "op5_mix_sources": source_mix.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
         "op9_line_dedup": line_dedup.ORACLE_SQL,
+        "op10_decontamination": decontamination.ORACLE_SQL,
     }
