@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quarry.llm import (
     decontamination,
+    hmm_scoring,
     jaccard_join,
     language_id,
     line_dedup,
@@ -16,6 +17,7 @@ from quarry.llm import (
 def queries():
     return {
         "op2_token_counts": token_counts.query,
+        "op4_hmm_scoring": hmm_scoring.query,
         "op5_mix_sources": source_mix.query,
         "op6_quality_rules": quality_rules.query,
         "op7_language_id": language_id.query,
