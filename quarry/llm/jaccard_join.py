@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components, cut
+from quarry.llm.tables import written
 from quarry.llm.text_arrays import mix, shingles, slices, words
 
 K = 5
@@ -46,7 +47,6 @@ SHARE = 0.6
 WIDE = 8
 _U = np.uint64
 _HALF = _U(32)
-_LOW = _U((1 << 40) - 1)
 _KEY = _U(0x5851F42D4C957F2D)
 
 
@@ -142,9 +142,8 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
         for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
             entry, n = np.unique(owner[a:z], return_counts=True)
             d = entry // 2
-            low = (sk[a:z] & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
             each = [n, size[d], 2 * full[entry] + entry % 2, keys[d]]
-            rows.append(b"".join([len(d).to_bytes(4, "little"), np.diff(ids[d], prepend=0).tobytes(), *[x.astype("<u4").tobytes() for x in each], low.tobytes()]))
+            rows.append(b"".join([len(d).to_bytes(4, "little"), _planes(np.diff(ids[d], prepend=0), "<i8"), *[_planes(x, "<u4") for x in each], sk[a:z].astype("<u4").tobytes()]))
         return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,13 +160,20 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
 def _unpack(blob: bytes) -> list[np.ndarray]:
     """sketch, doc_id, shingles, 2 x full blocks + role, set key: by sketch."""
     d = int.from_bytes(blob[:4], "little")
-    ids = np.cumsum(np.frombuffer(blob, "<i8", d, 4))
-    n, *each = (np.frombuffer(blob, "<u4", d, 4 + 8 * d + 4 * d * i) for i in range(4))
-    low = np.frombuffer(blob, np.uint8, -1, 4 + 24 * d).reshape(-1, 5)
-    sk = np.zeros((len(low), 8), np.uint8)
-    sk[:, :5] = low
+    ids = np.cumsum(_from_planes(blob, "<i8", d, 4))
+    n, *each = (_from_planes(blob, "<u4", d, 4 + 8 * d + 4 * d * i) for i in range(4))
     rep = np.repeat(np.arange(d), n)
-    return [sk.reshape(-1).view("<u8"), ids[rep], *[x[rep].astype(np.int64) for x in each]]
+    return [np.frombuffer(blob, "<u4", -1, 4 + 24 * d), ids[rep], *[x[rep].astype(np.int64) for x in each]]
+
+
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    """The numbers' lowest bytes, then their next, and so on: the shuffle's compression packs the zeros."""
+    return np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _from_planes(blob: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T).reshape(-1).view(kind)
 
 
 def _runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -198,13 +204,13 @@ def _runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(np.concatenate(([True], sk[1:] != sk[:-1]))) if len(sk) else np.zeros(0, np.int64)
     length = np.diff(np.append(at, len(sk)))
     wide = np.repeat(length > WIDE + 1, length)
-    return np.column_stack([pairs[:, :2], n, pairs[:, 2]]), np.column_stack([doc[wide], sk[wide].view(np.int64), np.full(wide.sum(), -1), (full - size // 3)[wide]])
+    return np.column_stack([pairs[:, :2], n, pairs[:, 2], n]), np.column_stack([doc[wide], sk[wide].astype(np.int64), np.full(wide.sum(), -1), (full - size // 3)[wide], size[wide]])
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Rows (a, b, n, need): two documents with n equal sketches; and, with n = -1, (a: document, b: wide run)."""
+    """Rows (a, b, n, need, size): two documents with n equal sketches; and, with n = -1, (a: document of so many shingles, b: wide run)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
+    buckets = parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
@@ -217,7 +223,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
         def batch(rows):
             rows = np.concatenate(rows)
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(4)], names=["a", "b", "n", "need"])
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(5)], names=["a", "b", "n", "need", "size"])
 
         for b in batches:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1)):
@@ -235,7 +241,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             yield batch(kept)
 
     dealt = packed(docs, buckets).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "a long, b long, n long, need long")
+    return dealt.mapInArrow(run, "a long, b long, n long, need long, size long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -274,18 +280,22 @@ def _label(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return with_b.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _wide_pairs(wide: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of wide runs in two components that narrow runs can't have shown.
+def _weak(wide: DataFrame) -> DataFrame:
+    """The sets of wide runs that may have a partner in those only.
 
     A set with more than a third as many full blocks in narrow runs as it has shingles has met
     all its partners there.
     """
-    weak = wide.groupBy("a").agg(F.count(F.lit(1)).alias("n_wide"), F.min("need").alias("spare")).filter("n_wide >= spare").select("a")
-    left = wide.join(weak, "a", "left_semi").join(roots.select(F.col("id").alias("a"), "root"), "a", "left").select(F.col("a").alias("x"), "b", F.coalesce("root", "a").alias("r"))
+    return wide.groupBy("a").agg(F.count(F.lit(1)).alias("n_wide"), F.min("need").alias("spare")).filter("n_wide >= spare").select("a")
+
+
+def _wide_pairs(wide: DataFrame, weak: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of weak sets in one wide run and two components, of sizes that allow a link."""
+    left = wide.join(weak, "a", "left_semi").join(roots.select(F.col("id").alias("a"), "root"), "a", "left").select(F.col("a").alias("x"), "b", F.coalesce("root", "a").alias("r"), "size")
     mixed = left.groupBy("b").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo < hi").select("b")
     left = left.join(mixed, "b", "left_semi")
-    right = left.select(F.col("x").alias("y"), "b", F.col("r").alias("s"))
-    return left.join(right, "b").filter("x < y and r <> s").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    right = left.select(F.col("x").alias("y"), "b", F.col("r").alias("s"), F.col("size").alias("size2"))
+    return left.join(right, "b").filter("x < y and r <> s and 4 * size >= 3 * size2 and 4 * size2 >= 3 * size").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -293,22 +303,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     counts = cut(shingle_counts(docs))
     classes = counts.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "key", "key2").agg(F.min("doc_id").alias("rep"))
-    found = cut(candidates(docs).groupBy("a", "b", (F.col("n") < 0).alias("wide")).agg(F.sum("n").alias("n"), F.min("need").alias("need")))
-    wide = found.filter("wide").select("a", "b", "need")
+    found = cut(candidates(docs).groupBy("a", "b", (F.col("n") < 0).alias("wide")).agg(F.sum("n").alias("n"), F.min("need").alias("need"), F.max("size").alias("size")))
+    wide = found.filter("wide").select("a", "b", "need", "size")
+    weak = cut(_weak(wide))
     of_wide = wide.groupBy("a").agg(F.count(F.lit(1)).alias("n_wide"))
     pairs = found.filter("not wide").join(of_wide.withColumnRenamed("n_wide", "wa"), "a", "left")
     pairs = pairs.join(of_wide.select(F.col("a").alias("b"), F.col("n_wide").alias("wb")), "b", "left")
     pairs = pairs.filter(F.col("n") + F.least(F.coalesce("wa", F.lit(0)), F.coalesce("wb", F.lit(0))) >= F.col("need")).select("a", "b", "n")
+    pairs = written(pairs)
+    # from here on only texts with a candidate are read
+    some = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(weak).distinct()
+    texts = written(docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").join(some, F.col("doc_id") == F.col("doc"), "left_semi"))
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
-    links = cut(verified(docs, best))
+    links = cut(verified(texts, best))
     roots = components(links)
     # whatever is left between two components
-    other = cut(verified(docs, _label(pairs.join(best, ["a", "b"], "left_anti"), roots)))
+    other = cut(verified(texts, _label(pairs.join(best, ["a", "b"], "left_anti"), roots)))
     links = links.union(other)
     roots = components(links)
-    rest = cut(_wide_pairs(wide, roots))
+    rest = cut(_wide_pairs(wide, weak, roots))
     if not rest.isEmpty():
-        links = links.union(verified(docs, rest))
+        links = links.union(verified(texts, rest))
         roots = components(links)
     of_class = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "key", "key2", F.coalesce("root", "rep").alias("component_id"))
     # exact copies share one class row; a large class is a join's split side, not a group
