@@ -3,9 +3,8 @@
 Texts are lower-cased and cut into words.  An item of L words gets the window class
 c = 8, 4, 2 or 1: the largest with 2c - 1 <= L, so that wherever an item stands in a document,
 one of the document's disjoint c-word windows lies wholly inside it.  Every window of the item (at
-all L - c + 1 places) and every disjoint window of every document gets a 64-bit SimHash: eight words
-of eight byte-wide counters hold the 64 sums of its words' hash bits, and the sign bits are
-read off with masks, all in generated code.
+all L - c + 1 places) and every disjoint window of every document gets a 64-bit SimHash: the majority of
+its words' hashes at each bit, counted by bit-sliced adders in generated code.
 
 Two fingerprints within RADIUS = 3 bits agree in one of four 16-bit parts; an equi-join on
 (class, part, value) therefore meets all of them, and bit_count filters.  Each meeting implies
@@ -35,24 +34,46 @@ SHIFT = 2
 CLASSES = (8, 4, 2, 1)
 BROADCAST_ROWS = 200_000
 BLANK = r"[ \t-\r]+"
-#: The lowest bit of each of eight bytes.
-LANES = 0x0101010101010101
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BLANK), lambda w: w != "")
 
 
-def simhash(hashes: Column, c: int) -> Column:
-    """The fingerprint of an array of c hashes; a bit is set if more than half of them set it."""
-    each = [F.get(hashes, F.lit(k)) for k in range(c)]
-    parts = []
-    for j in range(8):
-        lanes = reduce(lambda a, b: a + b, [F.shiftrightunsigned(w, j).bitwiseAND(F.lit(LANES)) for w in each])
-        # bit 6 of a byte shows that its sum is over c // 2; no byte reaches 128
-        over = F.shiftrightunsigned(lanes + F.lit((63 - c // 2) * LANES), 6).bitwiseAND(F.lit(LANES))
-        parts.append(F.shiftleft(over, j))
-    return reduce(lambda a, b: a.bitwiseOR(b), parts)
+def simhash(rows: DataFrame, c: int) -> DataFrame:
+    """rows (…, w: an array of c hashes) with w replaced by its fingerprint fp: the bits that more than half of the hashes set.
+
+    Bit-sliced counting: full adders on 64-bit words add up all 64 columns of bits at once.
+    """
+    keep = [x for x in rows.columns if x != "w"]
+    col, xor, both = F.col, lambda a, b: a.bitwiseXOR(b), lambda a, b: a.bitwiseAND(b)
+    rows = rows.select(*keep, *[F.get("w", F.lit(k)).alias(f"w{k}") for k in range(c)])
+
+    def full(rows: DataFrame, ins: tuple[str, str, str], out: tuple[str, str]) -> DataFrame:
+        x, y, z = map(col, ins)
+        return rows.withColumns({out[0]: xor(xor(x, y), z), out[1]: both(x, y).bitwiseOR(both(z, xor(x, y)))})
+
+    def half(rows: DataFrame, ins: tuple[str, str], out: tuple[str, str]) -> DataFrame:
+        x, y = map(col, ins)
+        return rows.withColumns({out[0]: xor(x, y), out[1]: both(x, y)})
+
+    if c == 8:
+        rows = full(rows, ("w0", "w1", "w2"), ("s1", "c1"))
+        rows = full(rows, ("w3", "w4", "w5"), ("s2", "c2"))
+        rows = full(rows, ("w6", "w7", "s1"), ("s3", "c3"))
+        rows = half(rows, ("s2", "s3"), ("ones", "c4"))
+        rows = full(rows, ("c1", "c2", "c3"), ("t1", "f1"))
+        rows = half(rows, ("t1", "c4"), ("twos", "f2"))
+        rows = half(rows, ("f1", "f2"), ("fours", "eights"))
+        fp = col("eights").bitwiseOR(both(col("fours"), col("ones").bitwiseOR(col("twos"))))
+    elif c == 4:
+        rows = full(rows, ("w0", "w1", "w2"), ("s1", "c1"))
+        rows = half(rows, ("s1", "w3"), ("ones", "c2"))
+        rows = half(rows, ("c1", "c2"), ("twos", "fours"))
+        fp = col("fours").bitwiseOR(both(col("twos"), col("ones")))
+    else:
+        fp = both(col("w0"), col("w1")) if c == 2 else col("w0")
+    return rows.select(*keep, fp.alias("fp"))
 
 
 def _windows(rows: DataFrame, c: int, step: int) -> DataFrame:
@@ -97,11 +118,11 @@ def search(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str =
     found = []
     d = docs.select(F.col(doc_id).alias("doc"), hashed(text).alias("h"))
     for c in sorted(r["c"] for r in h.select("c").distinct().collect()):  # at most four numbers
-        wanted = _windows(h.filter(F.col("c") == c).drop("c"), c, 1).select("item_id", F.col("at").alias("offset"), simhash(F.col("w"), c).alias("fp"))
+        wanted = simhash(_windows(h.filter(F.col("c") == c).drop("c"), c, 1), c).select("item_id", F.col("at").alias("offset"), "fp")
         wanted = _parts(wanted, c).select("item_id", "offset", F.col("fp").alias("item_fp"), "key")
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
-        met = _parts(_windows(d, c, c).select("doc", "at", simhash(F.col("w"), c).alias("fp")), c).join(wanted, "key")
+        met = _parts(simhash(_windows(d, c, c), c), c).join(wanted, "key")
         met = met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
         found.append(met.select("doc", "item_id", (F.col("at") - F.col("offset")).alias("start")))
     if not found:

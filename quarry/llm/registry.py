@@ -8,15 +8,19 @@ from quarry.llm import (
     jaccard_join,
     language_id,
     line_dedup,
+    quality_cnn,
     quality_rules,
     source_mix,
+    substring_dedup,
     token_counts,
 )
 
 
 def queries():
     return {
+        "op1_substring_dedup": substring_dedup.query,
         "op2_token_counts": token_counts.query,
+        "op3_quality_cnn": quality_cnn.query,
         "op4_hmm_scoring": hmm_scoring.query,
         "op5_mix_sources": source_mix.query,
         "op6_quality_rules": quality_rules.query,
