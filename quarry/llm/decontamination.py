@@ -99,14 +99,27 @@ def _weight(shingles: Column) -> Column:
     return F.aggregate(shingles, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
 
 
+def _bind(value: Column, body) -> Column:
+    """body(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def similarity(p: Column, q: Column) -> Column:
+    """Weighted Jaccard similarity of the shingles of two word lists."""
+    ratio = lambda a, b: _weight(F.array_intersect(a, b)) / _weight(F.array_union(a, b))
+    shingles = lambda w: _shingles(w, F.size(w))
+    return _bind(p, lambda x: _bind(q, lambda y: F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(_bind(shingles(x), lambda a: _bind(shingles(y), lambda b: ratio(a, b))))))
+
+
 def _verify(cands: DataFrame, docs: DataFrame, items: DataFrame, text: str, doc_id: str, item_text: str) -> DataFrame:
+    # the places to compare in one document with one item, together: its text is cut once
+    places = cands.groupBy("doc", "item_id").agg(F.collect_set("start").alias("starts"))
     d = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    full = items.select("item_id", words(F.col(item_text)).alias("iw"))
-    near = cands.join(d, cands["doc"].eqNullSafe(d["_id"])).join(full, "item_id")
-    near = near.select("doc", "item_id", "start", "iw", F.slice(words(F.col("_text")), F.col("start") + 1, F.size("iw")).alias("dw"))
-    near = near.filter(F.size("dw") > 0).select("doc", "item_id", "start", _shingles(F.col("iw"), F.size("iw")).alias("a"), _shingles(F.col("dw"), F.size("dw")).alias("b"))
-    both, all_ = _weight(F.array_intersect("a", "b")), _weight(F.array_union("a", "b"))
-    return near.select("doc", "item_id", "start", (both / all_).alias("similarity")).filter(F.col("similarity") >= SIMILARITY)
+    full = items.select("item_id", F.col(item_text).alias("_item"))
+    near = places.join(d, places["doc"].eqNullSafe(d["_id"])).join(full, "item_id")
+    compare = lambda dw, iw: F.transform("starts", lambda s: F.struct(s.alias("start"), similarity(F.slice(dw, s + 1, F.size(iw)), iw).alias("similarity")))
+    all_ = _bind(words(F.col("_text")), lambda dw: _bind(words(F.col("_item")), lambda iw: compare(dw, iw)))
+    return near.select("doc", "item_id", F.inline(F.filter(all_, lambda x: x["similarity"] >= SIMILARITY)))
 
 
 def search(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text") -> DataFrame:
