@@ -15,13 +15,15 @@ no linked pair is lost.
 
 Sketches travel packed, (bucket, bytes), and meet in one bucket by sort.  Equal sets meet
 everywhere, and count once, by their smallest doc_id.  Runs of equal
-sketches up to `WIDE` sets give all their pairs; longer runs give each set's `WIDE`
-neighbours and are written down as wide.  A pair's equal blocks are counted; as a set with f
+sketches up to `WIDE` + 1 sets give all their pairs; longer runs give neighbours by size
+and are written down as wide.  A pair's equal blocks are counted; as a set with f
 full blocks equals a partner in at least f - (|A| + |B|) / 7 of them, pairs with fewer, their wide runs
-counted in, are no candidates.  Candidates' texts are compared
+counted in, are no candidates, nor are pairs whose dense sketches (512 parity bits of the whole set) differ in
+more bits than that.  Candidates' texts are compared
 exactly: first each document's partner with most equal blocks, then all other candidates that
-are not yet in one component.  Pairs of wide runs that are still in two components and
-that the pigeonhole can't rule out come last, all of them, exactly.
+are not yet in one component.  Sets that by the pigeonhole may have partners in wide runs
+only are joined among themselves on their rarest shingles, an exact prefix filter; first with
+each shingle's smallest set only, then all pairs that are still in two components are compared.
 
 Nulls, empty and blank texts: n_shingles 0, a component of their own.  Texts of one to
 four words: one shingle, the whole sequence.  Repeated rows of a doc_id, and rows with a
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components, cut
@@ -45,6 +47,8 @@ K = 5
 RATIO = 1.5
 SHARE = 0.6
 WIDE = 8
+BITS = 512
+PARITY = [f"p{i}" for i in range(BITS // 64)]
 _U = np.uint64
 _HALF = _U(32)
 _KEY = _U(0x5851F42D4C957F2D)
@@ -113,19 +117,36 @@ def _set_keys(sets: list[np.ndarray]) -> np.ndarray:
         return np.array([int(x.sum(dtype=_U) ^ mix(np.array([len(x)], _U))[0]) for x in sets], _U)
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """The set's bits: BITS of them, each flipped by every shingle that hashes to it."""
+    at = (mix(s ^ _U(0x2545F4914F6CDD1D)) % _U(BITS)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def shingle_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key, key2) of docs (doc_id, text): equal keys mean equal sets."""
+    """(doc_id, n_shingles, key, key2, p0, p1, ...) of docs (doc_id, text): equal keys mean equal sets; p: parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = _sets(b.column(1))
             xor = [np.bitwise_xor.reduce(mix(x)) if len(x) else _U(0) for x in sets]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(_set_keys(sets).view(np.int64)), pa.array(np.array(xor, _U).view(np.int64), pa.int64())],
-                names=["doc_id", "n_shingles", "key", "key2"],
-            )
+            bits = np.array([_parity(x) for x in sets], np.int64).reshape(len(sets), BITS // 64)
+            cols = [pa.array([len(x) for x in sets], pa.int64()), pa.array(_set_keys(sets).view(np.int64)), pa.array(np.array(xor, _U).view(np.int64), pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, *[pa.array(np.ascontiguousarray(x)) for x in bits.T]], names=["doc_id", "n_shingles", "key", "key2", *PARITY])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key long, key2 long, " + ", ".join(f"{p} long" for p in PARITY))
+
+
+def _within(left: str, right: str) -> Column:
+    """Whether two sets (n and parity columns with these prefixes) can be similar enough: by size, and by the bits that differ."""
+    n, m = F.col(f"{left}n"), F.col(f"{right}n")
+    differ = sum((F.bit_count(F.col(f"{left}{p}").bitwiseXOR(F.col(f"{right}{p}"))) for p in PARITY), F.lit(0))
+    return (4 * n >= 3 * m) & (4 * m >= 3 * n) & (differ <= F.floor((n + m) / 7))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key long, key2 long")
+
+def _with_parity(rows: DataFrame, counts: DataFrame, column: str, prefix: str) -> DataFrame:
+    own = counts.filter("n_shingles > 0").select(F.col("doc_id").alias(column), F.col("n_shingles").alias(f"{prefix}n"), *[F.col(p).alias(f"{prefix}{p}") for p in PARITY])
+    return rows.join(own, column)
 
 
 def packed(docs: DataFrame, buckets: int) -> DataFrame:
@@ -192,18 +213,27 @@ def _runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     first = np.ones(len(sk), bool)
     first[1:] = (sk[1:] != sk[:-1]) | (size[1:] != size[:-1]) | (key[1:] != key[:-1])
     sk, doc, size, role, full = sk[first], doc[first], size[first], full[first] % 2, full[first] // 2
+    at = np.flatnonzero(np.concatenate(([True], sk[1:] != sk[:-1]))) if len(sk) else np.zeros(0, np.int64)
+    length = np.diff(np.append(at, len(sk)))
+    wide = np.repeat(length > WIDE + 1, length)
     rows = [np.zeros((0, 3), np.int64)]
     for step in range(1, min(WIDE + 1, len(sk))):
         # two sets of one band meet there, not in the next band again
         ok = (sk[step:] == sk[:-step]) & (4 * size[:-step] >= 3 * size[step:]) & (doc[step:] != doc[:-step]) & (role[step:] + role[:-step] < 2)
+        if step > 1:
+            ok &= ~wide[step:]
         x, y = doc[:-step][ok], doc[step:][ok]
         need = np.maximum(full[:-step], full[step:]) - (size[:-step] + size[step:]) // 7
         rows.append(np.column_stack([np.minimum(x, y), np.maximum(x, y), need[ok]]))
+    if wide.any():
+        # a wide run's smallest doc_id is its hub
+        hub = np.repeat(np.minimum.reduceat(np.where(role == 0, doc, np.iinfo(np.int64).max), at), length)
+        first = np.lexsort((np.arange(len(doc)), doc))
+        hub_at = first[np.minimum(np.searchsorted(doc[first], hub), len(doc) - 1)]
+        ok = wide & (hub != np.iinfo(np.int64).max) & (doc != hub) & (4 * np.minimum(size, size[hub_at]) >= 3 * np.maximum(size, size[hub_at]))
+        rows.append(np.column_stack([np.minimum(doc, hub)[ok], np.maximum(doc, hub)[ok], np.zeros(int(ok.sum()), np.int64)]))
     rows = np.concatenate(rows)
     pairs, n = np.unique(rows, axis=0, return_counts=True) if len(rows) else (rows, np.zeros(0, np.int64))
-    at = np.flatnonzero(np.concatenate(([True], sk[1:] != sk[:-1]))) if len(sk) else np.zeros(0, np.int64)
-    length = np.diff(np.append(at, len(sk)))
-    wide = np.repeat(length > WIDE + 1, length)
     return np.column_stack([pairs[:, :2], n, pairs[:, 2], n]), np.column_stack([doc[wide], sk[wide].astype(np.int64), np.full(wide.sum(), -1), (full - size // 3)[wide], size[wide]])
 
 
@@ -289,13 +319,46 @@ def _weak(wide: DataFrame) -> DataFrame:
     return wide.groupBy("a").agg(F.count(F.lit(1)).alias("n_wide"), F.min("need").alias("spare")).filter("n_wide >= spare").select("a")
 
 
-def _wide_pairs(wide: DataFrame, weak: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of weak sets in one wide run and two components, of sizes that allow a link."""
-    left = wide.join(weak, "a", "left_semi").join(roots.select(F.col("id").alias("a"), "root"), "a", "left").select(F.col("a").alias("x"), "b", F.coalesce("root", "a").alias("r"), "size")
+def _rare(texts: DataFrame, weak: DataFrame) -> DataFrame:
+    """(x, size, b): the rarest shingles b of the weak sets x.
+
+    With shingles ordered by frequency among the weak sets, two linked sets share one of the first n - ceil(3 n / 4) + 1
+    of each (prefix filtering); what many sets have in common comes last.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, part in slices(b.column(1)):
+                sets = shingles(words(part), K)
+                size = np.array([len(x) for x in sets], np.int64)
+                ids = b.column(0).slice(first, len(part)).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, size)), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).view(np.int64))], names=["x", "size", "b"])
+
+    rows = written(texts.join(weak, F.col("doc_id") == F.col("a"), "left_semi").select("doc_id", "text").mapInArrow(run, "x long, size long, b long"))
+    often = rows.groupBy("b").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # one document's shingles in a window: its rarest come first, those of it alone before all
+    rank = F.row_number().over(Window.partitionBy("x").orderBy("df", "b"))
+    alone = F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("x"))
+    left = rows.join(often, "b").withColumns({"rank": rank, "alone": alone}).filter("rank + alone <= size - ceil(3 * size / 4) + 1").select("x", "size", "b")
+    return written(left)
+
+
+def _mixed(rare: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of shingles that are in two components, as yet, with the component r."""
+    left = rare.join(roots.select(F.col("id").alias("x"), F.col("root").alias("r")), "x", "left").withColumn("r", F.coalesce("r", "x"))
     mixed = left.groupBy("b").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo < hi").select("b")
-    left = left.join(mixed, "b", "left_semi")
-    right = left.select(F.col("x").alias("y"), "b", F.col("r").alias("s"), F.col("size").alias("size2"))
-    return left.join(right, "b").filter("x < y and r <> s and 4 * size >= 3 * size2 and 4 * size2 >= 3 * size").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    return left.join(mixed, "b", "left_semi")
+
+
+def _rare_pairs(rare: DataFrame, roots: DataFrame, counts: DataFrame, hubs: bool) -> DataFrame:
+    """Pairs of two components that share a shingle and are within reach; hubs: only those with a shingle's smallest set."""
+    left = _mixed(rare, roots).select("b", "x", "r")
+    right = left.groupBy("b").agg(F.min(F.struct("x", "r")).alias("h")).select(F.col("b").alias("b2"), F.col("h.x").alias("y"), F.col("h.r").alias("s")) if hubs else left.select(F.col("b").alias("b2"), F.col("x").alias("y"), F.col("r").alias("s"))
+    left, right = _with_parity(left, counts, "x", "l"), _with_parity(right, counts, "y", "r")
+    # the bits are compared within the join: a pair beyond reach is no row
+    order = F.col("r") != F.col("s") if hubs else (F.col("x") < F.col("y")) & (F.col("r") != F.col("s"))
+    found = left.join(right, (F.col("b") == F.col("b2")) & order & _within("l", "r"))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -310,7 +373,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = found.filter("not wide").join(of_wide.withColumnRenamed("n_wide", "wa"), "a", "left")
     pairs = pairs.join(of_wide.select(F.col("a").alias("b"), F.col("n_wide").alias("wb")), "b", "left")
     pairs = pairs.filter(F.col("n") + F.least(F.coalesce("wa", F.lit(0)), F.coalesce("wb", F.lit(0))) >= F.col("need")).select("a", "b", "n")
-    pairs = written(pairs)
+    pairs = written(_with_parity(_with_parity(pairs, counts, "a", "l"), counts, "b", "r").filter(_within("l", "r")).select("a", "b", "n").distinct())
     # from here on only texts with a candidate are read
     some = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(weak).distinct()
     texts = written(docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").join(some, F.col("doc_id") == F.col("doc"), "left_semi"))
@@ -321,10 +384,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other = cut(verified(texts, _label(pairs.join(best, ["a", "b"], "left_anti"), roots)))
     links = links.union(other)
     roots = components(links)
-    rest = cut(_wide_pairs(wide, weak, roots))
-    if not rest.isEmpty():
-        links = links.union(verified(texts, rest))
-        roots = components(links)
+    rare = _rare(texts, weak)
+    for hubs in (True, True, False):
+        rest = cut(_rare_pairs(rare, roots, counts, hubs))
+        if rest.isEmpty():
+            break
+        more = cut(verified(texts, rest))
+        links = links.union(more)
+        if not more.isEmpty():
+            roots = components(links)
     of_class = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "key", "key2", F.coalesce("root", "rep").alias("component_id"))
     # exact copies share one class row; a large class is a join's split side, not a group
     return (
