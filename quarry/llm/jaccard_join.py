@@ -18,7 +18,7 @@ everywhere, and count once, by their smallest doc_id.  Runs of equal
 sketches up to `WIDE` + 1 sets give all their pairs; longer runs give neighbours by size
 and are written down as wide.  A pair's equal blocks are counted; as a set with f
 full blocks equals a partner in at least f - (|A| + |B|) / 7 of them, pairs with fewer, their wide runs
-counted in, are no candidates, nor are pairs whose dense sketches (512 parity bits of the whole set) differ in
+counted in, are no candidates, nor are pairs whose dense sketches (2048 parity bits of the whole set) differ in
 more bits than that.  Candidates' texts are compared
 exactly: first each document's partner with most equal blocks, then all other candidates that
 are not yet in one component.  Sets that by the pigeonhole may have partners in wide runs
@@ -47,7 +47,8 @@ K = 5
 RATIO = 1.5
 SHARE = 0.6
 WIDE = 8
-BITS = 512
+HUB = 200
+BITS = 2048
 PARITY = [f"p{i}" for i in range(BITS // 64)]
 _U = np.uint64
 _HALF = _U(32)
@@ -170,7 +171,7 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for first, part in slices(b.column(1), 8 << 20):
+            for first, part in slices(b.column(1), 4 << 20):
                 sets = _sets(part)
                 if any(map(len, sets)):
                     yield pack(ids[first : first + len(part)].astype(np.int64), sets)
@@ -178,13 +179,12 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket long, packed binary")
 
 
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    """sketch, doc_id, shingles, 2 x full blocks + role, set key: by sketch."""
+def _unpack(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(sketches, by entry: how many sketches, doc_id, shingles, 2 x full blocks + role, set key)."""
     d = int.from_bytes(blob[:4], "little")
     ids = np.cumsum(_from_planes(blob, "<i8", d, 4))
     n, *each = (_from_planes(blob, "<u4", d, 4 + 8 * d + 4 * d * i) for i in range(4))
-    rep = np.repeat(np.arange(d), n)
-    return [np.frombuffer(blob, "<u4", -1, 4 + 24 * d), ids[rep], *[x[rep].astype(np.int64) for x in each]]
+    return np.frombuffer(blob, "<u4", -1, 4 + 24 * d), [n, ids, *each]
 
 
 def _planes(x: np.ndarray, kind: str) -> bytes:
@@ -200,13 +200,18 @@ def _from_planes(blob: bytes, kind: str, n: int, at: int) -> np.ndarray:
 def _runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Of one bucket: rows (a, b, equal blocks, least number) of pairs, and (a, sketch, -1, spare blocks) of wide runs' sets."""
     parts = [_unpack(x) for x in blobs]
-    sk, *cols = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    sk = np.concatenate([p[0] for p in parts])
+    n, *cols = (np.concatenate([p[1][i] for p in parts]) for i in range(5))
+    del parts
+    entry = np.repeat(np.arange(len(n), dtype=np.int32), n)
     order = np.argsort(sk, kind="stable")
     sk = sk[order]
     same = np.zeros(len(sk), bool)
     same[1:] = sk[1:] == sk[:-1]
     same[:-1] |= same[1:].copy()
-    sk, (doc, size, full, key) = sk[same], (x[order][same] for x in cols)
+    # only what has met something is looked at further
+    entry = entry[order[same]]
+    sk, (doc, size, full, key) = sk[same], (x[entry].astype(np.int64) for x in cols)
     # equal sets of a run: the smallest doc_id stands for them
     order = np.lexsort((doc, key, size, sk))
     sk, doc, size, full, key = (x[order] for x in (sk, doc, size, full, key))
@@ -277,9 +282,11 @@ def candidates(docs: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts' sets are similar enough.
 
-    Every b travels to its a; a hub's partners are dealt over salts, each with a copy of the hub.
+    Every b travels to its a; the partners of a hub are dealt over salts, about HUB to each, each with a copy of the hub.
     """
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(64)).alias("_salt"))
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > HUB)
+    salts = F.coalesce(F.ceil(F.col("_m") / HUB), F.lit(1))
+    salted = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).alias("_salt"))
     routes = salted.select("a", F.col("b").alias("doc"), "_salt").union(salted.select("a", F.col("a").alias("doc"), "_salt").distinct())
     texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), "text")
     rows = routes.join(texts, "doc").select("a", "_salt", F.when(F.col("doc") == F.col("a"), 0).otherwise(1).alias("_order"), "doc", "text")
@@ -287,15 +294,16 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, None
         for b in batches:
-            sets = _sets(b.column(3))
             found = []
-            for a, order, doc, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), sets):
-                if order == 0:
-                    hub, own = a, s
-                elif hub == a:
-                    both = len(np.intersect1d(own, s, assume_unique=True))
-                    if len(s) and 4 * both >= 3 * (len(own) + len(s) - both):
-                        found.append((a, doc))
+            for first, part in slices(b.column(3)):
+                rows = (b.column(i).slice(first, len(part)).to_pylist() for i in range(3))
+                for a, order, doc, s in zip(*rows, shingles(words(part), K)):
+                    if order == 0:
+                        hub, own = a, s
+                    elif hub == a:
+                        both = len(np.intersect1d(own, s, assume_unique=True))
+                        if len(s) and 4 * both >= 3 * (len(own) + len(s) - both):
+                            found.append((a, doc))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     dealt = rows.repartition("a", "_salt").sortWithinPartitions("a", "_salt", "_order")
