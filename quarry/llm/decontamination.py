@@ -47,7 +47,7 @@ def simhash(rows: DataFrame, c: int) -> DataFrame:
     """
     keep = [x for x in rows.columns if x != "w"]
     col, xor, both = F.col, lambda a, b: a.bitwiseXOR(b), lambda a, b: a.bitwiseAND(b)
-    rows = rows.select(*keep, *[F.get("w", F.lit(k)).alias(f"w{k}") for k in range(c)])
+    rows = rows.select(*keep, *[F.coalesce(F.get("w", F.lit(k)), F.lit(0)).alias(f"w{k}") for k in range(c)])  # never null, so that no filter is inferred
 
     def full(rows: DataFrame, ins: tuple[str, str, str], out: tuple[str, str]) -> DataFrame:
         x, y, z = map(col, ins)
@@ -79,8 +79,9 @@ def simhash(rows: DataFrame, c: int) -> DataFrame:
 def _windows(rows: DataFrame, c: int, step: int) -> DataFrame:
     """rows (…, h) exploded to (…, at, w): arrays of c hashes from word `at`, every `step` words."""
     keep = [x for x in rows.columns if x != "h"]
-    starts = F.sequence(F.lit(0), F.size("h") - c, F.lit(step))
-    return rows.filter(F.size("h") >= c).select(*keep, F.posexplode(F.transform(starts, lambda i: F.slice("h", i + 1, c))).alias("_i", "w")).select(*keep, (F.col("_i") * step).alias("at"), "w")
+    # a filter on the size would compute the hashes a second time
+    starts = F.when(F.size("h") >= c, F.sequence(F.lit(0), F.size("h") - c, F.lit(step)))
+    return rows.select(*keep, F.posexplode(F.transform(starts, lambda i: F.slice("h", i + 1, c))).alias("_i", "w")).select(*keep, (F.col("_i") * step).alias("at"), "w")
 
 
 def _parts(rows: DataFrame, c: int) -> DataFrame:
