@@ -22,8 +22,8 @@ counted in, are no candidates, nor are pairs whose dense sketches (2048 parity b
 more bits than that.  Candidates' texts are compared
 exactly: first each document's partner with most equal blocks, then all other candidates that
 are not yet in one component.  Sets that by the pigeonhole may have partners in wide runs
-only are joined among themselves on their rarest shingles, an exact prefix filter; first with
-each shingle's smallest set only, then all pairs that are still in two components are compared.
+only are joined among themselves on their rarest shingles, an exact prefix filter, and what is in reach and
+still in two components is compared.
 
 Nulls, empty and blank texts: n_shingles 0, a component of their own.  Texts of one to
 four words: one shingle, the whole sequence.  Repeated rows of a doc_id, and rows with a
@@ -33,6 +33,7 @@ null doc_id: each row is reported; a null doc_id is no link's end.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ WIDE = 8
 HUB = 200
 BITS = 2048
 PARITY = [f"p{i}" for i in range(BITS // 64)]
+#: Words of parity that go with every rare shingle.
+FOLDED = 8
 _U = np.uint64
 _HALF = _U(32)
 _KEY = _U(0x5851F42D4C957F2D)
@@ -138,15 +141,17 @@ def shingle_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key long, key2 long, " + ", ".join(f"{p} long" for p in PARITY))
 
 
-def _within(left: str, right: str) -> Column:
+def _within(left: str, right: str, n: int = BITS // 64) -> Column:
     """Whether two sets (n and parity columns with these prefixes) can be similar enough: by size, and by the bits that differ."""
-    n, m = F.col(f"{left}n"), F.col(f"{right}n")
-    differ = sum((F.bit_count(F.col(f"{left}{p}").bitwiseXOR(F.col(f"{right}{p}"))) for p in PARITY), F.lit(0))
-    return (4 * n >= 3 * m) & (4 * m >= 3 * n) & (differ <= F.floor((n + m) / 7))
+    x, y = F.col(f"{left}n"), F.col(f"{right}n")
+    differ = sum((F.bit_count(F.col(f"{left}{p}").bitwiseXOR(F.col(f"{right}{p}"))) for p in PARITY[:n]), F.lit(0))
+    return (4 * x >= 3 * y) & (4 * y >= 3 * x) & (differ <= F.floor((x + y) / 7))
 
 
-def _with_parity(rows: DataFrame, counts: DataFrame, column: str, prefix: str) -> DataFrame:
-    own = counts.filter("n_shingles > 0").select(F.col("doc_id").alias(column), F.col("n_shingles").alias(f"{prefix}n"), *[F.col(p).alias(f"{prefix}{p}") for p in PARITY])
+def _with_parity(rows: DataFrame, counts: DataFrame, column: str, prefix: str, n: int = BITS // 64) -> DataFrame:
+    """rows joined with the size and n parity words of the set in a column; fewer words are the others folded onto them by XOR."""
+    words_ = [reduce(lambda a, b: a.bitwiseXOR(b), [F.col(p) for p in PARITY[i::n]]) for i in range(n)]
+    own = counts.filter("n_shingles > 0").select(F.col("doc_id").alias(column), F.col("n_shingles").alias(f"{prefix}n"), *[w.alias(f"{prefix}p{i}") for i, w in enumerate(words_)])
     return rows.join(own, column)
 
 
@@ -198,7 +203,7 @@ def _from_planes(blob: bytes, kind: str, n: int, at: int) -> np.ndarray:
 
 
 def _runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Of one bucket: rows (a, b, equal blocks, least number) of pairs, and (a, sketch, -1, spare blocks) of wide runs' sets."""
+    """Of one bucket: rows (a, b, equal blocks, least number) of pairs, and (a, a, - wide runs, spare blocks) of the sets in wide runs."""
     parts = [_unpack(x) for x in blobs]
     sk = np.concatenate([p[0] for p in parts])
     n, *cols = (np.concatenate([p[1][i] for p in parts]) for i in range(5))
@@ -239,44 +244,48 @@ def _runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         rows.append(np.column_stack([np.minimum(doc, hub)[ok], np.maximum(doc, hub)[ok], np.zeros(int(ok.sum()), np.int64)]))
     rows = np.concatenate(rows)
     pairs, n = np.unique(rows, axis=0, return_counts=True) if len(rows) else (rows, np.zeros(0, np.int64))
-    return np.column_stack([pairs[:, :2], n, pairs[:, 2], n]), np.column_stack([doc[wide], sk[wide].astype(np.int64), np.full(wide.sum(), -1), (full - size // 3)[wide], size[wide]])
+    # of each set in wide runs: how many, and how many full blocks it can spare
+    order = np.argsort(doc[wide], kind="stable")
+    doc, spare = doc[wide][order], (full - size // 3)[wide][order]
+    at = np.flatnonzero(np.diff(doc, prepend=-1 if not len(doc) else doc[0] - 1))
+    spare = np.minimum.reduceat(spare, at) if len(at) else spare
+    return np.column_stack([pairs[:, :2], n, pairs[:, 2]]), np.column_stack([doc[at], doc[at], -np.diff(np.append(at, len(doc))), spare])
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Rows (a, b, n, need, size): two documents with n equal sketches; and, with n = -1, (a: document of so many shingles, b: wide run)."""
+    """Rows (a, b, n, need): two documents with n equal sketches, which need `need`; and, with n < 0, a document a = b in - n wide runs."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = parts
+    # a bucket's sketches are sorted in memory, 8 bytes each; each bucket costs a document some bytes
+    buckets = max(min(parts, 16), parts // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
         kept: list[np.ndarray] = []
 
-        def out(bucket, blobs):
-            pairs, wide = _runs(blobs)
-            wide[:, 1] = wide[:, 1] * buckets + bucket
-            return np.concatenate([pairs, wide])
+        def out(blobs):
+            return np.concatenate(_runs(blobs))
 
         def batch(rows):
             rows = np.concatenate(rows)
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(5)], names=["a", "b", "n", "need", "size"])
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(4)], names=["a", "b", "n", "need"])
 
         for b in batches:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1)):
                 if bucket != at:
                     if held:
-                        kept.append(out(at, held))
+                        kept.append(out(held))
                     held, at = [], bucket
                     if sum(map(len, kept)) > 200_000:
                         yield batch(kept)
                         kept = []
                 held.append(blob.as_py())
         if held:
-            kept.append(out(at, held))
+            kept.append(out(held))
         if kept:
             yield batch(kept)
 
     dealt = packed(docs, buckets).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "a long, b long, n long, need long, size long")
+    return dealt.mapInArrow(run, "a long, b long, n long, need long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -324,7 +333,7 @@ def _weak(wide: DataFrame) -> DataFrame:
     A set with more than a third as many full blocks in narrow runs as it has shingles has met
     all its partners there.
     """
-    return wide.groupBy("a").agg(F.count(F.lit(1)).alias("n_wide"), F.min("need").alias("spare")).filter("n_wide >= spare").select("a")
+    return wide.filter("n_wide >= need").select("a")
 
 
 def _rare(texts: DataFrame, weak: DataFrame) -> DataFrame:
@@ -358,15 +367,14 @@ def _mixed(rare: DataFrame, roots: DataFrame) -> DataFrame:
     return left.join(mixed, "b", "left_semi")
 
 
-def _rare_pairs(rare: DataFrame, roots: DataFrame, counts: DataFrame, hubs: bool) -> DataFrame:
-    """Pairs of two components that share a shingle and are within reach; hubs: only those with a shingle's smallest set."""
+def _rare_pairs(rare: DataFrame, roots: DataFrame, counts: DataFrame) -> DataFrame:
+    """Pairs of two components that share a shingle and are within reach."""
     left = _mixed(rare, roots).select("b", "x", "r")
-    right = left.groupBy("b").agg(F.min(F.struct("x", "r")).alias("h")).select(F.col("b").alias("b2"), F.col("h.x").alias("y"), F.col("h.r").alias("s")) if hubs else left.select(F.col("b").alias("b2"), F.col("x").alias("y"), F.col("r").alias("s"))
-    left, right = _with_parity(left, counts, "x", "l"), _with_parity(right, counts, "y", "r")
+    right = left.select(F.col("b").alias("b2"), F.col("x").alias("y"), F.col("r").alias("s"))
+    left, right = _with_parity(left, counts, "x", "l", FOLDED), _with_parity(right, counts, "y", "r", FOLDED)
     # the bits are compared within the join: a pair beyond reach is no row
-    order = F.col("r") != F.col("s") if hubs else (F.col("x") < F.col("y")) & (F.col("r") != F.col("s"))
-    found = left.join(right, (F.col("b") == F.col("b2")) & order & _within("l", "r"))
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    found = left.join(right, (F.col("b") == F.col("b2")) & (F.col("x") < F.col("y")) & (F.col("r") != F.col("s")) & _within("l", "r", FOLDED))
+    return found.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -374,10 +382,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     counts = cut(shingle_counts(docs))
     classes = counts.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "key", "key2").agg(F.min("doc_id").alias("rep"))
-    found = cut(candidates(docs).groupBy("a", "b", (F.col("n") < 0).alias("wide")).agg(F.sum("n").alias("n"), F.min("need").alias("need"), F.max("size").alias("size")))
-    wide = found.filter("wide").select("a", "b", "need", "size")
+    found = cut(candidates(docs).groupBy("a", "b", (F.col("n") < 0).alias("wide")).agg(F.sum("n").alias("n"), F.min("need").alias("need")))
+    wide = found.filter("wide").select("a", (-F.col("n")).alias("n_wide"), "need")
     weak = cut(_weak(wide))
-    of_wide = wide.groupBy("a").agg(F.count(F.lit(1)).alias("n_wide"))
+    of_wide = wide.select("a", "n_wide")
     pairs = found.filter("not wide").join(of_wide.withColumnRenamed("n_wide", "wa"), "a", "left")
     pairs = pairs.join(of_wide.select(F.col("a").alias("b"), F.col("n_wide").alias("wb")), "b", "left")
     pairs = pairs.filter(F.col("n") + F.least(F.coalesce("wa", F.lit(0)), F.coalesce("wb", F.lit(0))) >= F.col("need")).select("a", "b", "n")
@@ -392,15 +400,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other = cut(verified(texts, _label(pairs.join(best, ["a", "b"], "left_anti"), roots)))
     links = links.union(other)
     roots = components(links)
-    rare = _rare(texts, weak)
-    for hubs in (True, True, False):
-        rest = cut(_rare_pairs(rare, roots, counts, hubs))
-        if rest.isEmpty():
-            break
-        more = cut(verified(texts, rest))
-        links = links.union(more)
-        if not more.isEmpty():
-            roots = components(links)
+    rest = cut(_rare_pairs(_rare(texts, weak), roots, counts))
+    if not rest.isEmpty():
+        links = links.union(verified(texts, rest))
+        roots = components(links)
     of_class = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "key", "key2", F.coalesce("root", "rep").alias("component_id"))
     # exact copies share one class row; a large class is a join's split side, not a group
     return (
