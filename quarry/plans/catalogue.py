@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from quarry.plans import library
+from quarry.plans.library import flagship
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["flagship", "oracle_sql", "queries"]
 
 
 def queries():
-    return {}
+    return dict(library.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(library.ORACLES)
