@@ -18,7 +18,7 @@ everywhere, and count once, by their smallest doc_id.  Runs of equal
 sketches up to `WIDE` + 1 sets give all their pairs; longer runs give neighbours by size
 and are written down as wide.  A pair's equal blocks are counted; as a set with f
 full blocks equals a partner in at least f - (|A| + |B|) / 7 of them, pairs with fewer, their wide runs
-counted in, are no candidates, nor are pairs whose dense sketches (2048 parity bits of the whole set) differ in
+counted in, are no candidates, nor are pairs whose dense sketches (2,048 parity bits of the whole set, and 16,384 of a large one) differ in
 more bits than that.  Candidates' texts are compared
 exactly: first each document's partner with most equal blocks, then all other candidates that
 are not yet in one component.  Sets that by the pigeonhole may have partners in wide runs
@@ -51,6 +51,8 @@ WIDE = 8
 HUB = 200
 BITS = 2048
 PARITY = [f"p{i}" for i in range(BITS // 64)]
+#: Sets of so many shingles have more parity bits besides.
+LARGE, MORE_BITS = 1500, 16384
 #: Words of parity that go with every rare shingle.
 FOLDED = 8
 _U = np.uint64
@@ -121,24 +123,25 @@ def _set_keys(sets: list[np.ndarray]) -> np.ndarray:
         return np.array([int(x.sum(dtype=_U) ^ mix(np.array([len(x)], _U))[0]) for x in sets], _U)
 
 
-def _parity(s: np.ndarray) -> np.ndarray:
-    """The set's bits: BITS of them, each flipped by every shingle that hashes to it."""
-    at = (mix(s ^ _U(0x2545F4914F6CDD1D)) % _U(BITS)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8), bitorder="little").view("<i8")
+def _parity(s: np.ndarray, bits: int) -> np.ndarray:
+    """The set's bits, each flipped by every shingle that hashes to it."""
+    at = (mix(s ^ _U(0x2545F4914F6CDD1D)) % _U(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view("<i8")
 
 
 def shingle_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key, key2, p0, p1, ...) of docs (doc_id, text): equal keys mean equal sets; p: parity bits."""
+    """(doc_id, n_shingles, key, key2, p0, p1, ..., more) of docs (doc_id, text): equal keys mean equal sets; p: parity bits; more: those of large sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = _sets(b.column(1))
             xor = [np.bitwise_xor.reduce(mix(x)) if len(x) else _U(0) for x in sets]
-            bits = np.array([_parity(x) for x in sets], np.int64).reshape(len(sets), BITS // 64)
+            bits = np.array([_parity(x, BITS) for x in sets], np.int64).reshape(len(sets), BITS // 64)
+            more = pa.array([_parity(x, MORE_BITS).tolist() if len(x) >= LARGE else None for x in sets], pa.list_(pa.int64()))
             cols = [pa.array([len(x) for x in sets], pa.int64()), pa.array(_set_keys(sets).view(np.int64)), pa.array(np.array(xor, _U).view(np.int64), pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, *[pa.array(np.ascontiguousarray(x)) for x in bits.T]], names=["doc_id", "n_shingles", "key", "key2", *PARITY])
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, *[pa.array(np.ascontiguousarray(x)) for x in bits.T], more], names=["doc_id", "n_shingles", "key", "key2", *PARITY, "more"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key long, key2 long, " + ", ".join(f"{p} long" for p in PARITY))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key long, key2 long, " + ", ".join(f"{p} long" for p in PARITY) + ", more array<long>")
 
 
 def _within(left: str, right: str, n: int = BITS // 64) -> Column:
@@ -155,6 +158,15 @@ def _with_parity(rows: DataFrame, counts: DataFrame, column: str, prefix: str, n
     return rows.join(own, column)
 
 
+def _within_large(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """pairs (a, b, n) without those of two large sets that differ in too many bits."""
+    large = counts.filter("more is not null")
+    left = large.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("more").alias("ma"))
+    right = large.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("more").alias("mb"))
+    differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce(differ <= F.floor((F.col("na") + F.col("nb")) / 7), F.lit(True))).select("a", "b", "n")
+
+
 def packed(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, n sketches, bytes): the sketches of some documents that fall into a bucket."""
 
@@ -208,15 +220,16 @@ def _runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sk = np.concatenate([p[0] for p in parts])
     n, *cols = (np.concatenate([p[1][i] for p in parts]) for i in range(5))
     del parts
-    entry = np.repeat(np.arange(len(n), dtype=np.int32), n)
-    order = np.argsort(sk, kind="stable")
-    sk = sk[order]
+    met = (sk.astype(_U) << _HALF) | np.repeat(np.arange(len(n), dtype=np.uint32), n)
+    met.sort()
+    sk = (met >> _HALF).astype(np.uint32)
     same = np.zeros(len(sk), bool)
     same[1:] = sk[1:] == sk[:-1]
     same[:-1] |= same[1:].copy()
     # only what has met something is looked at further
-    entry = entry[order[same]]
-    sk, (doc, size, full, key) = sk[same], (x[entry].astype(np.int64) for x in cols)
+    sk, entry = sk[same], (met[same] & _U(0xFFFFFFFF)).astype(np.int64)
+    del met
+    doc, size, full, key = (x[entry].astype(np.int64) for x in cols)
     # equal sets of a run: the smallest doc_id stands for them
     order = np.lexsort((doc, key, size, sk))
     sk, doc, size, full, key = (x[order] for x in (sk, doc, size, full, key))
@@ -389,7 +402,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = found.filter("not wide").join(of_wide.withColumnRenamed("n_wide", "wa"), "a", "left")
     pairs = pairs.join(of_wide.select(F.col("a").alias("b"), F.col("n_wide").alias("wb")), "b", "left")
     pairs = pairs.filter(F.col("n") + F.least(F.coalesce("wa", F.lit(0)), F.coalesce("wb", F.lit(0))) >= F.col("need")).select("a", "b", "n")
-    pairs = written(_with_parity(_with_parity(pairs, counts, "a", "l"), counts, "b", "r").filter(_within("l", "r")).select("a", "b", "n").distinct())
+    pairs = _with_parity(_with_parity(pairs, counts, "a", "l"), counts, "b", "r").filter(_within("l", "r")).select("a", "b", "n")
+    pairs = written(_within_large(pairs, counts).distinct())
     # from here on only texts with a candidate are read
     some = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(weak).distinct()
     texts = written(docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").join(some, F.col("doc_id") == F.col("doc"), "left_semi"))

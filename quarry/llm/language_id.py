@@ -286,7 +286,7 @@ def identify(docs: DataFrame, model, path: str | None = None, text: str = "text"
         t = trie(path) if names else None
         for b in batches:
             lang, score = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
-            for first, raw in slices(b.column(at), 4 << 20) if names else ():
+            for first, raw in slices(b.column(at), 2 << 20) if names else ():
                 logs = text_logs(t, lowered(raw), p) + prior
                 logs -= logs.max(axis=1, keepdims=True)
                 post = np.exp(logs)

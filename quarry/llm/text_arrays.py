@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _U = np.uint64
 _PRIME = 0x9E3779B97F4A7C55
 
@@ -38,7 +38,7 @@ _tables = {"n": 0}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _tables["n"] < n:
-        size = max(SLICE_BYTES + 1, 1 << int(n).bit_length())
+        size = max(SLICE_BYTES + 2, n + n // 4)
         inverse = pow(_PRIME, -1, 1 << 64)
         with np.errstate(over="ignore"):
             for key, base in (("up", _PRIME), ("down", inverse)):
