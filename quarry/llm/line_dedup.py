@@ -49,9 +49,10 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MAR
         .filter(F.col("_estimate") >= min_sites * (1 - margin))
         .withColumn("_near", F.col("_estimate") <= min_sites * (1 + margin))
     )
-    # partial distinct in each task: a hot line adds at most one row for each site and task
+    # partial distinct in each task, before any join: a hot line adds at most one row for each site and task
     near = sketched.filter("_near").select("_line")
-    exact = occ.join(near, "_line", "left_semi").groupBy("_line", "_site").agg(F.lit(1).alias("_one")).groupBy("_line").agg(F.count(F.lit(1)).alias("_exact"))
+    sites = occ.groupBy("_line", "_site").agg(F.lit(1).alias("_one"))
+    exact = sites.join(near, "_line", "left_semi").groupBy("_line").agg(F.count(F.lit(1)).alias("_exact"))
     judged = sketched.join(exact, "_line", "left").withColumn("spread", F.coalesce("_exact", "_estimate"))
     return judged.filter(F.col("spread") >= min_sites).select("_line", "spread", F.col("_exact").isNotNull().alias("exact"), "first_doc")
 
@@ -68,7 +69,7 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN
 def clean(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN, text: str = "text", source: str = "source", doc_id: str = "doc_id", drop_empty: bool = True, n_chars: str | None = "n_chars") -> DataFrame:
     """docs with `text` cleaned, and n_removed_lines, n_left_lines."""
     gone = removals(docs, min_sites, margin, text, source, doc_id)
-    columns = docs.columns
+    columns = [c for c in docs.columns if c not in ("n_removed_lines", "n_left_lines")]
     joined = docs.join(gone, docs[doc_id] == gone["_doc"], "left").drop("_doc")
     lines = F.split(F.col(text), "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_gone"), line_hash(trimmed(x))))
