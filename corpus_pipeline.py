@@ -50,7 +50,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to their source's target weight, shuffled; copy_no numbers a document's copies."""
     ship(spark)
-    return source_mix.mix(docs).select(*docs.columns, "copy_no")
+    return source_mix.mix(docs).select(*[c for c in docs.columns if c != "copy_no"], "copy_no")
 
 
 STAGES = [
