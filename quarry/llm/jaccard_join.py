@@ -19,9 +19,8 @@ sketches up to `WIDE` + 1 sets give all their pairs; longer runs give neighbours
 and are written down as wide.  A pair's equal blocks are counted; as a set with f
 full blocks equals a partner in at least f - (|A| + |B|) / 7 of them, pairs with fewer, their wide runs
 counted in, are no candidates, nor are pairs whose dense sketches (2,048 parity bits of the whole set, and 16,384 of a large one) differ in
-more bits than that.  Candidates' texts are compared
-exactly: first each document's partner with most equal blocks, then all other candidates that
-are not yet in one component.  Sets that by the pigeonhole may have partners in wide runs
+more bits than that.  All candidates' texts are compared exactly.
+Sets that by the pigeonhole may have partners in wide runs
 only are joined among themselves on their rarest shingles, an exact prefix filter, and what is in reach and
 still in two components is compared.
 
@@ -332,14 +331,6 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return dealt.select("a", "_order", "doc", "text").mapInArrow(run, "a long, b long")
 
 
-def _label(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs that are in two components, as yet."""
-    r = roots
-    with_a = pairs.join(r.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left")
-    with_b = with_a.join(r.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
-    return with_b.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-
 def _weak(wide: DataFrame) -> DataFrame:
     """The sets of wide runs that may have a partner in those only.
 
@@ -407,12 +398,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # from here on only texts with a candidate are read
     some = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(weak).distinct()
     texts = written(docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").join(some, F.col("doc_id") == F.col("doc"), "left_semi"))
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
-    links = cut(verified(texts, best))
-    roots = components(links)
-    # whatever is left between two components
-    other = cut(verified(texts, _label(pairs.join(best, ["a", "b"], "left_anti"), roots)))
-    links = links.union(other)
+    links = cut(verified(texts, pairs))
     roots = components(links)
     rest = cut(_rare_pairs(_rare(texts, weak), roots, counts))
     if not rest.isEmpty():

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from quarry.llm.components import shared_checkpoint
+from quarry.llm.components import release, shared_checkpoint
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -15,4 +15,5 @@ def written(df: DataFrame) -> DataFrame:
     shared_checkpoint(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
