@@ -209,6 +209,9 @@ def fit(spark: SparkSession, train: DataFrame, path: str, text: str = "text", la
     known = train.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id"))
     keyed = known.select(F.col(lang).alias("_lang"), F.col(doc_id).alias("_id"), F.xxhash64(doc_id).alias("_h"))
+    # by each language's size, first the part of its rows in which twice the sample is expected
+    sizes = keyed.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    keyed = keyed.join(sizes, "_lang").filter(F.pmod("_h", F.lit(1 << 30)) * F.col("_n") <= F.lit((2 * sample_docs + 100) * (1 << 30))).drop("_n")
     # at most sample_docs ids for each language
     chosen = keyed.withColumn("_r", rank).filter(F.col("_r") <= sample_docs).select("_lang", "_id").distinct()
     rows = known.join(F.broadcast(chosen), (F.col(lang) == F.col("_lang")) & (F.col(doc_id) == F.col("_id"))).select(F.col("_lang"), F.col(text).alias("_text"))
