@@ -137,8 +137,8 @@ ORACLE_SQL = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
 a AS (SELECT doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w,
              list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM t),
-p AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM a),
-g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM p),
+p AS (SELECT doc_id, i, hash(w[i], w[i + 1], w[i + 2]) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM a)),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS c FROM p),
 r AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words
       FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM g WHERE c > 1) GROUP BY doc_id),
 m AS (SELECT a.doc_id, len(w) AS n_words,
