@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.tables import written
-from quarry.llm.text_arrays import LOWER, mix, slices, words
+from quarry.llm.text_arrays import LOWER, gathered, mix, slices, words
 
 STATES = 8
 ROUNDS = 3
@@ -44,6 +44,8 @@ COMMON = 262_144
 SAMPLE = 1500
 N_SYMBOLS = 1 + TOP + SUFFIXES
 ADD = 0.1
+#: Bytes of symbols, two a token, that share the recursion's steps.
+GATHERED = 6 << 20
 #: The end token's hash.
 END = 0
 _U = np.uint64
@@ -282,7 +284,7 @@ def train(table: DataFrame, prior: np.ndarray, states: int = STATES, rounds: int
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = sent.value
             emit, move, start = np.zeros((n, states)), np.zeros((states, states)), np.zeros(states)
-            for b in batches:
+            for b in gathered(batches, 0, GATHERED):
                 seqs = [np.frombuffer(x, "<u2") for x in b.column(0).to_pylist()]
                 for group in _groups(seqs):
                     expected(m, [seqs[i] for i in group], emit, move, start)
@@ -306,7 +308,7 @@ def likelihoods(table: DataFrame, m: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches:
+        for b in gathered(batches, 1, GATHERED):
             seqs = [np.frombuffer(x, "<u2") for x in b.column(1).to_pylist()]
             out = np.zeros(len(seqs))
             for group in _groups(seqs):

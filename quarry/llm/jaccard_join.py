@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.components import components, cut
 from quarry.llm.tables import written
-from quarry.llm.text_arrays import mix, shingles, slices, words
+from quarry.llm.text_arrays import gathered, mix, shingles, slices, words
 
 K = 5
 RATIO = 1.5
@@ -185,7 +185,7 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in gathered(batches, 1):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for first, part in slices(b.column(1), 4 << 20):
                 sets = _sets(part)
@@ -216,17 +216,24 @@ def _from_planes(blob: bytes, kind: str, n: int, at: int) -> np.ndarray:
 def _runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Of one bucket: rows (a, b, equal blocks, least number) of pairs, and (a, a, - wide runs, spare blocks) of the sets in wide runs."""
     parts = [_unpack(x) for x in blobs]
-    sk = np.concatenate([p[0] for p in parts])
-    n, *cols = (np.concatenate([p[1][i] for p in parts]) for i in range(5))
+    # sketch and entry in one number, sorted in place
+    met = np.empty(sum(len(p[0]) for p in parts), _U)
+    at = entries = 0
+    for sk, (n, *_) in parts:
+        part = met[at : at + len(sk)]
+        part[:] = sk
+        part <<= _HALF
+        part |= np.repeat(np.arange(entries, entries + len(n), dtype=np.uint32), n)
+        at, entries = at + len(sk), entries + len(n)
+    cols = [np.concatenate([p[1][i] for p in parts]) for i in range(1, 5)]
     del parts
-    met = (sk.astype(_U) << _HALF) | np.repeat(np.arange(len(n), dtype=np.uint32), n)
     met.sort()
-    sk = (met >> _HALF).astype(np.uint32)
+    sk = met.view("<u4")[1::2]
     same = np.zeros(len(sk), bool)
     same[1:] = sk[1:] == sk[:-1]
     same[:-1] |= same[1:].copy()
     # only what has met something is looked at further
-    sk, entry = sk[same], (met[same] & _U(0xFFFFFFFF)).astype(np.int64)
+    sk, entry = sk[same], met.view("<u4")[::2][same]
     del met
     doc, size, full, key = (x[entry].astype(np.int64) for x in cols)
     # equal sets of a run: the smallest doc_id stands for them

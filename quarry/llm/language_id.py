@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.text_arrays import slices, utf8, words
+from quarry.llm.text_arrays import gathered, slices, utf8, words
 
 SAMPLE_DOCS = 400
 ROUNDS = 4
@@ -287,7 +287,7 @@ def identify(docs: DataFrame, model, path: str | None = None, text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, prior, p = sent.value
         t = trie(path) if names else None
-        for b in batches:
+        for b in gathered(batches, at, 2 << 20):
             lang, score = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
             for first, raw in slices(b.column(at), 2 << 20) if names else ():
                 logs = text_logs(t, lowered(raw), p) + prior

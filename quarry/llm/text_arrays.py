@@ -76,6 +76,22 @@ def slices(column: pa.Array, most: int = SLICE_BYTES):
         first = last
 
 
+def gathered(batches, column: int, most: int = 4 << 20):
+    """Arrow batches joined until the column has `most` bytes: what is done once a batch is then done for many texts."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.column(column).nbytes
+        if n >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 @dataclass
 class Words:
     """Words of a slice: hash, first byte and end by word; the first word of each text, with one more."""
