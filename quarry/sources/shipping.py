@@ -16,7 +16,7 @@ def ship(spark: SparkSession) -> None:
     """Adds the package as a zip, once for each application, and bounds Arrow batches where the session doesn't."""
     sc = spark.sparkContext
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # rows hold whole texts
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # rows hold whole texts
     if sc.applicationId in _sent:
         return
     path = os.path.join(tempfile.mkdtemp(prefix="quarry-"), "quarry.zip")
