@@ -100,7 +100,9 @@ class Vocabulary:
     """The COMMON most frequent words (sorted by hash) with count and symbol, and the totals."""
 
     def __init__(self, counts: DataFrame):
-        top = counts.filter(F.col("hash") != END).orderBy(F.desc("c"), "hash").limit(COMMON).toArrow()  # COMMON rows of fixed width
+        top = self._frequent(counts.filter(F.col("hash") != END))
+        order = np.lexsort((top["hash"].to_numpy(), -top["c"].to_numpy()))
+        top = top.take(pa.array(order))
         h, c = top["hash"].to_numpy().view(_U), top["c"].to_numpy()
         symbol = top["suffix"].to_numpy().astype(np.int32)
         symbol[: min(TOP, len(symbol))] = np.arange(1, 1 + min(TOP, len(symbol)))
@@ -122,6 +124,20 @@ class Vocabulary:
         order = np.argsort(h)
         self.hash, self.count, self.symbol = h[order], c[order].astype(np.int64), symbol[order]
 
+    @staticmethod
+    def _frequent(counts: DataFrame) -> pa.Table:
+        """At most COMMON words: those above the count from which on there are no more.
+
+        Found by a histogram of counts (exact below 2**20, then a thousand steps a doubling: of bounded size), so that no
+        task sends its own top words.
+        """
+        step = F.when(F.col("c") < 1 << 20, F.col("c")).otherwise((1 << 20) + F.floor((F.log2("c") - 20) * 1000)).cast("long")
+        steps = counts.select(step.alias("k"), "hash", "suffix", "c")
+        hist = steps.groupBy("k").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by([("k", "descending")])
+        fit = np.cumsum(hist["n"].to_numpy()) <= COMMON
+        lowest = int(hist["k"].to_numpy()[fit][-1]) if fit.any() else 1 << 62
+        return steps.filter(F.col("k") >= lowest).select("hash", "suffix", "c").toArrow()
+
     def base_below(self) -> float:
         return float(np.log10(self.N + ADD * (self.V + 1)))
 
@@ -274,7 +290,10 @@ def _start_model(rows: list[bytes], prior: np.ndarray, states: int, rounds: int
 def train(table: DataFrame, prior: np.ndarray, states: int = STATES, rounds: int = ROUNDS, sample: int = SAMPLE) -> Model:
     """Baum-Welch over all rows of table that aren't held out."""
     sc = table.sparkSession.sparkContext
-    rows = table.filter("not held_out").select("doc_id", "row_id", "symbols").orderBy(F.xxhash64("doc_id"), "row_id").limit(sample).select("symbols").collect()
+    own = table.filter("not held_out").select("row_id", "symbols", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("_h"))
+    # the part of the rows in which twice the sample is expected, then the first of them
+    few = own.filter(F.col("_h") * F.lit(max(1, own.count())) <= F.lit((2 * sample + 100) * (1 << 30)))
+    rows = few.orderBy("_h", "row_id").limit(sample).select("symbols").collect()
     m = _start_model([r[0] for r in rows], prior, states)
     n = len(prior)
     share = prior / prior.sum()
