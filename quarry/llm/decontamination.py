@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash windows, multi-index Hamming search and exact verification.
 
 Texts are lower-cased and cut into words.  An item of L words gets the window class
-c = 8, 4, 2 or 1: the largest with 2c - 1 <= L, so that wherever an item stands in a document,
-one of the document's disjoint c-word windows lies wholly inside it.  Every window of the item (at
+c = 8, 4, 2 or 1: the largest with LEAST[c] <= L.  Wherever 2c - 1 intact words of an item stand in a document,
+one of the document's disjoint c-word windows lies wholly inside them; LEAST[8] leaves three words more, as a near copy may have
+changed words at its ends.  Every window of the item (at
 all L - c + 1 places) and every disjoint window of every document gets a 64-bit SimHash: the majority of
 its words' hashes at each bit, counted by bit-sliced adders in generated code.
 
@@ -10,8 +11,9 @@ Two fingerprints within RADIUS = 3 bits agree in one of four 16-bit parts; an eq
 (class, part, value) therefore meets all of them, and bit_count filters.  Each meeting implies
 where the item would start; the item-sized window there is compared with the item exactly: weighted
 Jaccard similarity of 5-word shingles, weight = characters, at least 0.75.  Windows of
-eight words also cover all copies with whole words replaced: 0.75 leaves fewer than L / 35
-changed words, and L / 8 - 1 windows.
+eight words also cover copies with inner words replaced: 0.75 leaves fewer than L / 35
+of those, and L / 8 - 1 windows; an end's changed word costs one shingle of L - 4, so at equal weights 0.75 leaves up to
+(L - 4) / 7, and from 18 words on 15 stay intact.
 
 Only DataFrame functions run.  The items' fingerprints are broadcast if a count says they are
 at most BROADCAST_ROWS, else both sides are shuffled.  Null, empty and blank texts and items meet nothing;
@@ -32,6 +34,8 @@ SIMILARITY = 0.75
 #: Places tried on either side of an implied start: a word may have been put in or left out.
 SHIFT = 2
 CLASSES = (8, 4, 2, 1)
+#: Words an item needs for a class.
+LEAST = {8: 18, 4: 7, 2: 3, 1: 1}
 BROADCAST_ROWS = 200_000
 BLANK = r"[ \t-\r]+"
 
@@ -127,7 +131,7 @@ def search(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str =
     """(doc, item_id, start_word, similarity): the best place of each item found in each document."""
     hashed = lambda t: F.transform(words(F.col(t)), lambda w: F.xxhash64(w))
     h = items.select("item_id", hashed(item_text).alias("h")).filter(F.size("h") > 0)
-    of_size = reduce(lambda a, c: F.when(F.size("h") >= 2 * c - 1, c).otherwise(a), sorted(CLASSES), F.lit(1))
+    of_size = reduce(lambda a, c: F.when(F.size("h") >= LEAST[c], c).otherwise(a), sorted(CLASSES), F.lit(1))
     h = h.withColumn("c", of_size)
     found = []
     d = docs.select(F.col(doc_id).alias("doc"), hashed(text).alias("h"))
