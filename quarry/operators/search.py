@@ -143,3 +143,29 @@ class IvfIndex:
         q = np.array(query, float)
         near = np.argsort(-(self.centres @ q), kind="stable")[:probes].tolist()
         return knn(self.rows, query, k, self.vector, self.key, F.col("cell").isin(near))
+
+    def search_join(self, queries: DataFrame, k: int, probes: int = 4, query_vector: str = "query_vector", query_id: str = "query_id") -> DataFrame:
+        """The k rows nearest to every query, with `distance` and `rank`, as `knn_join` finds them.
+
+        The cells nearest to a query are read first.  Another is read if its farthest vector's angle to the centre lets it hold
+        something nearer than the k-th found.
+        """
+        angle = lambda d: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.lit(1.0) - d)))
+        centres = F.array(*[vector_literal(c.tolist()) for c in self.centres])
+        own = self.rows.withColumn("_d", cosine_distance(self.vector, F.get(centres, F.col("cell")))).filter(F.col("_d").isNotNull())
+        widest = {r["cell"]: r["_r"] for r in own.groupBy("cell").agg(F.max(angle(F.col("_d"))).alias("_r")).collect()}  # one row a cell
+        radius = F.array(*[F.lit(float(widest.get(i, 0.0))) for i in range(len(self.centres))])
+        cells = F.array_sort(F.transform(centres, lambda c, i: F.struct(F.coalesce(cosine_distance(query_vector, c), F.lit(2.0)).alias("d"), i.alias("i"))))
+        asked = queries.select(query_id, query_vector, F.posexplode(cells).alias("_pos", "_c")).select(query_id, query_vector, "_pos", F.col("_c.d").alias("_d"), F.col("_c.i").alias("cell"))
+        w = Window.partitionBy(query_id).orderBy("distance", self.key)
+
+        def read(wanted: DataFrame) -> DataFrame:
+            pairs = self.rows.join(wanted.select(query_id, query_vector, "cell"), "cell").withColumn("distance", cosine_distance(self.vector, query_vector))
+            return pairs.filter(F.col("distance").isNotNull()).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+        first = read(asked.filter(F.col("_pos") < probes))
+        bound = first.groupBy(query_id).agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("_far"))
+        rest = asked.filter(F.col("_pos") >= probes).join(bound, query_id, "left")
+        near = angle(F.col("_d")) - F.get(radius, F.col("cell")) <= angle(F.col("_far")) + 1e-6
+        more = read(rest.filter(F.col("_far").isNull() | near))
+        return first.unionByName(more).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

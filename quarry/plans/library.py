@@ -120,7 +120,8 @@ def rerank_by_model_scores(spark, d):
 @query()
 def ann_ivf(spark, d):
     index = search.IvfIndex(_vectors(spark, d), cells=16)
-    return _rounded(index.search(_probe(spark, d), 5, probes=6).select("chunk_id", "distance"), "distance")
+    queries = table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return _rounded(index.search_join(queries, 5, probes=6).select("query_id", "chunk_id", "rank", "distance"), "distance")
 
 
 @query()
