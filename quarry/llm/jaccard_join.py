@@ -13,35 +13,35 @@ few full blocks (short ones, mostly) is also entered under another hash, and so
 one gives it enough: of two sets, one has enough on a level where both are entered, so
 no linked pair is lost.
 
-Sketches travel packed, (bucket, bytes), and meet in one bucket by sort.  Equal sets meet
-everywhere, and count once, by their smallest doc_id.  Runs of equal
+A set is known by a 64-bit hash of it, its node: equal sets are one node from the start, whatever
+their documents' ids.  Sketches travel packed, (bucket, bytes), and meet in one bucket by sort.  Runs of equal
 sketches up to `WIDE` + 1 sets give all their pairs; longer runs give neighbours by size
 and are written down as wide.  A pair's equal blocks are counted; as a set with f
 full blocks equals a partner in at least f - (|A| + |B|) / 7 of them, pairs with fewer, their wide runs
 counted in, are no candidates, nor are pairs whose dense sketches (2,048 parity bits of the whole set, and 16,384 of a large one) differ in
 more bits than that.  All candidates' texts are compared exactly.
-Sets that by the pigeonhole may have partners in wide runs
-only are joined among themselves on their rarest shingles, an exact prefix filter, and what is in reach and
-still in two components is compared.
+Sets that by the pigeonhole may have partners in wide runs only meet on their rarest shingles as well (an exact
+prefix filter), where they are of two components as yet; there the dense sketches, all bits of them, decide before a
+pair is written, and what they can't rule out is compared.
 
 Nulls, empty and blank texts: n_shingles 0, a component of their own.  Texts of one to
-four words: one shingle, the whole sequence.  Repeated rows of a doc_id, and rows with a
-null doc_id: each row is reported; a null doc_id is no link's end.
+four words: one shingle, the whole sequence.  Every row is judged by its own text: rows that repeat a doc_id with
+other texts are linked each by itself, whatever their order.  A null doc_id's row is reported and is no link's end.  Columns other than doc_id and
+text are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components, cut
-from quarry.llm.tables import written
-from quarry.llm.text_arrays import gathered, mix, shingles, slices, words
+from quarry.llm.tables import dropped, written
+from quarry.llm.text_arrays import gathered, mix, shingles, slices, utf8, words
 
 K = 5
 RATIO = 1.5
@@ -49,10 +49,9 @@ SHARE = 0.6
 WIDE = 8
 HUB = 200
 BITS = 2048
-PARITY = [f"p{i}" for i in range(BITS // 64)]
 #: Sets of so many shingles have more parity bits besides.
 LARGE, MORE_BITS = 1500, 16384
-#: Words of parity that go with every rare shingle.
+#: Words of parity that are compared before all others.
 FOLDED = 8
 _U = np.uint64
 _HALF = _U(32)
@@ -122,56 +121,69 @@ def _set_keys(sets: list[np.ndarray]) -> np.ndarray:
         return np.array([int(x.sum(dtype=_U) ^ mix(np.array([len(x)], _U))[0]) for x in sets], _U)
 
 
-def _parity(s: np.ndarray, bits: int) -> np.ndarray:
+def _parity(s: np.ndarray, bits: int) -> bytes:
     """The set's bits, each flipped by every shingle that hashes to it."""
     at = (mix(s ^ _U(0x2545F4914F6CDD1D)) % _U(bits)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view("<i8")
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def shingle_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key, key2, p0, p1, ..., more) of docs (doc_id, text): equal keys mean equal sets; p: parity bits; more: those of large sets."""
+    """(doc_id, n_shingles, node, key2, bits, more) of docs (doc_id, text): equal node and key2 mean equal sets; bits: parity; more: that of large sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = _sets(b.column(1))
             xor = [np.bitwise_xor.reduce(mix(x)) if len(x) else _U(0) for x in sets]
-            bits = np.array([_parity(x, BITS) for x in sets], np.int64).reshape(len(sets), BITS // 64)
-            more = pa.array([_parity(x, MORE_BITS).tolist() if len(x) >= LARGE else None for x in sets], pa.list_(pa.int64()))
+            bits = pa.array([_parity(x, BITS) if len(x) else None for x in sets], pa.binary())
+            more = pa.array([_parity(x, MORE_BITS) if len(x) >= LARGE else None for x in sets], pa.binary())
             cols = [pa.array([len(x) for x in sets], pa.int64()), pa.array(_set_keys(sets).view(np.int64)), pa.array(np.array(xor, _U).view(np.int64), pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, *[pa.array(np.ascontiguousarray(x)) for x in bits.T], more], names=["doc_id", "n_shingles", "key", "key2", *PARITY, "more"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, bits, more], names=["doc_id", "n_shingles", "node", "key2", "bits", "more"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key long, key2 long, " + ", ".join(f"{p} long" for p in PARITY) + ", more array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, key2 long, bits binary, more binary")
 
 
-def _within(left: str, right: str, n: int = BITS // 64) -> Column:
-    """Whether two sets (n and parity columns with these prefixes) can be similar enough: by size, and by the bits that differ."""
-    x, y = F.col(f"{left}n"), F.col(f"{right}n")
-    differ = sum((F.bit_count(F.col(f"{left}{p}").bitwiseXOR(F.col(f"{right}{p}"))) for p in PARITY[:n]), F.lit(0))
-    return (4 * x >= 3 * y) & (4 * y >= 3 * x) & (differ <= F.floor((x + y) / 7))
+def _far(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles with the parity words x, y (rows) differ in too many bits."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) > (n + m) // 7
 
 
-def _with_parity(rows: DataFrame, counts: DataFrame, column: str, prefix: str, n: int = BITS // 64) -> DataFrame:
-    """rows joined with the size and n parity words of the set in a column; fewer words are the others folded onto them by XOR."""
-    words_ = [reduce(lambda a, b: a.bitwiseXOR(b), [F.col(p) for p in PARITY[i::n]]) for i in range(n)]
-    own = counts.filter("n_shingles > 0").select(F.col("doc_id").alias(column), F.col("n_shingles").alias(f"{prefix}n"), *[w.alias(f"{prefix}p{i}") for i, w in enumerate(words_)])
-    return rows.join(own, column)
+def _blobs(column: pa.Array, words_: int, rows: np.ndarray | None = None) -> np.ndarray:
+    """Parity words by row of a binary column without nulls."""
+    data, _ = utf8(column if rows is None else column.take(pa.array(rows)))
+    return data.view("<u8").reshape(-1, words_)
 
 
-def _within_large(pairs: DataFrame, counts: DataFrame) -> DataFrame:
-    """pairs (a, b, n) without those of two large sets that differ in too many bits."""
-    large = counts.filter("more is not null")
-    left = large.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("more").alias("ma"))
-    right = large.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("more").alias("mb"))
-    differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce(differ <= F.floor((F.col("na") + F.col("nb")) / 7), F.lit(True))).select("a", "b", "n")
+def _sketch(counts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n_shingles, bits, more) of some nodes, one row each."""
+    own = counts.filter("n_shingles > 0 and doc_id is not null").join(nodes, "node", "left_semi")
+    return own.groupBy("node").agg(F.min("n_shingles").alias("n_shingles"), F.min("bits").alias("bits"), F.min("more").alias("more"))
+
+
+def near(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose dense sketches may be of similar sets."""
+    left, right = (sketch.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("bits").alias(f"p{x}"), F.col("more").alias(f"m{x}")) for x in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = (b.column(i).to_numpy() for i in (2, 3))
+            ok = (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) & ~_far(n, m, _blobs(b.column(4), BITS // 64), _blobs(b.column(5), BITS // 64))
+            both = np.flatnonzero(ok & (n >= LARGE) & (m >= LARGE))
+            if len(both):
+                ok[both] = ~_far(n[both], m[both], _blobs(b.column(6), MORE_BITS // 64, both), _blobs(b.column(7), MORE_BITS // 64, both))
+            keep = pa.array(np.flatnonzero(ok))
+            yield pa.RecordBatch.from_arrays([b.column(i).take(keep) for i in (0, 1)], names=["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
 def packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, n sketches, bytes): the sketches of some documents that fall into a bucket."""
+    """(bucket, n sketches, bytes): the sketches of some sets that fall into a bucket."""
 
-    def pack(ids: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def pack(sets: list[np.ndarray]) -> pa.RecordBatch:
+        # equal sets of a batch travel once
+        nodes, first = np.unique(_set_keys(sets), return_index=True)
+        sets, nodes = [sets[i] for i in first.tolist()], nodes.view(np.int64)
         sk, owner, size, full = sketches(sets)
-        keys = (_set_keys(sets) & _U(0xFFFFFFFF)).astype("<u4")
         bucket = (((sk >> _HALF) * _U(buckets)) >> _HALF).astype(np.int64)
         order = np.lexsort((owner, bucket))
         sk, owner, bucket = sk[order], owner[order], bucket[order]
@@ -180,27 +192,26 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
         for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
             entry, n = np.unique(owner[a:z], return_counts=True)
             d = entry // 2
-            each = [n, size[d], 2 * full[entry] + entry % 2, keys[d]]
-            rows.append(b"".join([len(d).to_bytes(4, "little"), _planes(np.diff(ids[d], prepend=0), "<i8"), *[_planes(x, "<u4") for x in each], sk[a:z].astype("<u4").tobytes()]))
+            each = [n, size[d], 2 * full[entry] + entry % 2]
+            rows.append(b"".join([len(d).to_bytes(4, "little"), nodes[d].tobytes(), *[_planes(x, "<u4") for x in each], sk[a:z].astype("<u4").tobytes()]))
         return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in gathered(batches, 1):
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for first, part in slices(b.column(1), 4 << 20):
-                sets = _sets(part)
-                if any(map(len, sets)):
-                    yield pack(ids[first : first + len(part)].astype(np.int64), sets)
+        for b in gathered(batches, 0):
+            for _, part in slices(b.column(0), 4 << 20):
+                sets = [x for x in _sets(part) if len(x)]
+                if sets:
+                    yield pack(sets)
 
-    return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket long, packed binary")
+    return docs.filter(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "bucket long, packed binary")
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(sketches, by entry: how many sketches, doc_id, shingles, 2 x full blocks + role, set key)."""
+    """(sketches, by entry: how many sketches, node, shingles, 2 x full blocks + role)."""
     d = int.from_bytes(blob[:4], "little")
-    ids = np.cumsum(_from_planes(blob, "<i8", d, 4))
-    n, *each = (_from_planes(blob, "<u4", d, 4 + 8 * d + 4 * d * i) for i in range(4))
-    return np.frombuffer(blob, "<u4", -1, 4 + 24 * d), [n, ids, *each]
+    nodes = np.frombuffer(blob, "<i8", d, 4)
+    n, *each = (_from_planes(blob, "<u4", d, 4 + 8 * d + 4 * d * i) for i in range(3))
+    return np.frombuffer(blob, "<u4", -1, 4 + 20 * d), [n, nodes, *each]
 
 
 def _planes(x: np.ndarray, kind: str) -> bytes:
@@ -225,7 +236,7 @@ def _runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         part <<= _HALF
         part |= np.repeat(np.arange(entries, entries + len(n), dtype=np.uint32), n)
         at, entries = at + len(sk), entries + len(n)
-    cols = [np.concatenate([p[1][i] for p in parts]) for i in range(1, 5)]
+    cols = [np.concatenate([p[1][i] for p in parts]) for i in range(1, 4)]
     del parts
     met.sort()
     sk = met.view("<u4")[1::2]
@@ -235,12 +246,12 @@ def _runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     # only what has met something is looked at further
     sk, entry = sk[same], met.view("<u4")[::2][same]
     del met
-    doc, size, full, key = (x[entry].astype(np.int64) for x in cols)
-    # equal sets of a run: the smallest doc_id stands for them
-    order = np.lexsort((doc, key, size, sk))
-    sk, doc, size, full, key = (x[order] for x in (sk, doc, size, full, key))
+    doc, size, full = (x[entry].astype(np.int64) for x in cols)
+    # equal sets of a run are one node
+    order = np.lexsort((doc, size, sk))
+    sk, doc, size, full = (x[order] for x in (sk, doc, size, full))
     first = np.ones(len(sk), bool)
-    first[1:] = (sk[1:] != sk[:-1]) | (size[1:] != size[:-1]) | (key[1:] != key[:-1])
+    first[1:] = (sk[1:] != sk[:-1]) | (doc[1:] != doc[:-1])
     sk, doc, size, role, full = sk[first], doc[first], size[first], full[first] % 2, full[first] // 2
     at = np.flatnonzero(np.concatenate(([True], sk[1:] != sk[:-1]))) if len(sk) else np.zeros(0, np.int64)
     length = np.diff(np.append(at, len(sk)))
@@ -255,7 +266,7 @@ def _runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         need = np.maximum(full[:-step], full[step:]) - (size[:-step] + size[step:]) // 7
         rows.append(np.column_stack([np.minimum(x, y), np.maximum(x, y), need[ok]]))
     if wide.any():
-        # a wide run's smallest doc_id is its hub
+        # a wide run's smallest node is its hub
         hub = np.repeat(np.minimum.reduceat(np.where(role == 0, doc, np.iinfo(np.int64).max), at), length)
         first = np.lexsort((np.arange(len(doc)), doc))
         hub_at = first[np.minimum(np.searchsorted(doc[first], hub), len(doc) - 1)]
@@ -272,7 +283,7 @@ def _runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Rows (a, b, n, need): two documents with n equal sketches, which need `need`; and, with n < 0, a document a = b in - n wide runs."""
+    """Rows (a, b, n, need): two nodes with n equal sketches, which need `need`; and, with n < 0, a node a = b in - n wide runs."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a bucket's sketches are sorted in memory, 8 bytes each; each bucket costs a document some bytes
     buckets = max(min(parts, 16), parts // 2)
@@ -307,17 +318,16 @@ def candidates(docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, n long, need long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts' sets are similar enough.
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts' sets are similar enough; texts: (node, text).
 
     Every b travels to its a; the partners of a hub are dealt over salts, about HUB to each, each with a copy of the hub.
     """
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > HUB)
     salts = F.coalesce(F.ceil(F.col("_m") / HUB), F.lit(1))
     salted = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).alias("_salt"))
-    routes = salted.select("a", F.col("b").alias("doc"), "_salt").union(salted.select("a", F.col("a").alias("doc"), "_salt").distinct())
-    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), "text")
-    rows = routes.join(texts, "doc").select("a", "_salt", F.when(F.col("doc") == F.col("a"), 0).otherwise(1).alias("_order"), "doc", "text")
+    routes = salted.select("a", F.col("b").alias("node"), "_salt").union(salted.select("a", F.col("a").alias("node"), "_salt").distinct())
+    rows = routes.join(texts, "node").select("a", "_salt", F.when(F.col("node") == F.col("a"), 0).otherwise(1).alias("_order"), "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, None
@@ -325,30 +335,24 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             found = []
             for first, part in slices(b.column(3)):
                 rows = (b.column(i).slice(first, len(part)).to_pylist() for i in range(3))
-                for a, order, doc, s in zip(*rows, shingles(words(part), K)):
+                sets = shingles(words(part), K)
+                for a, order, node, s, key in zip(*rows, sets, _set_keys(sets).view(np.int64).tolist()):
+                    if key != node:
+                        continue  # another text of a repeated doc_id
                     if order == 0:
                         hub, own = a, s
                     elif hub == a:
                         both = len(np.intersect1d(own, s, assume_unique=True))
-                        if len(s) and 4 * both >= 3 * (len(own) + len(s) - both):
-                            found.append((a, doc))
+                        if 4 * both >= 3 * (len(own) + len(s) - both):
+                            found.append((a, node))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     dealt = rows.repartition("a", "_salt").sortWithinPartitions("a", "_salt", "_order")
-    return dealt.select("a", "_order", "doc", "text").mapInArrow(run, "a long, b long")
-
-
-def _weak(wide: DataFrame) -> DataFrame:
-    """The sets of wide runs that may have a partner in those only.
-
-    A set with more than a third as many full blocks in narrow runs as it has shingles has met
-    all its partners there.
-    """
-    return wide.filter("n_wide >= need").select("a")
+    return dealt.select("a", "_order", "node", "text").mapInArrow(run, "a long, b long")
 
 
 def _rare(texts: DataFrame, weak: DataFrame) -> DataFrame:
-    """(x, size, b): the rarest shingles b of the weak sets x.
+    """(x, b): the rarest shingles b of the weak sets x (nodes that may have a partner in wide runs only).
 
     With shingles ordered by frequency among the weak sets, two linked sets share one of the first n - ceil(3 n / 4) + 1
     of each (prefix filtering); what many sets have in common comes last.
@@ -358,63 +362,135 @@ def _rare(texts: DataFrame, weak: DataFrame) -> DataFrame:
         for b in batches:
             for first, part in slices(b.column(1)):
                 sets = shingles(words(part), K)
-                size = np.array([len(x) for x in sets], np.int64)
-                ids = b.column(0).slice(first, len(part)).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, size)), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).view(np.int64))], names=["x", "size", "b"])
-
-    rows = written(texts.join(weak, F.col("doc_id") == F.col("a"), "left_semi").select("doc_id", "text").mapInArrow(run, "x long, size long, b long"))
+                own = b.column(0).slice(first, len(part)).to_numpy()
+                right = np.flatnonzero(_set_keys(sets).view(np.int64) == own)
+                size = np.array([len(sets[i]) for i in right], np.int64)
+                if len(right):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[right], size)), pa.array(np.repeat(size, size)), pa.array(np.concatenate([sets[i] for i in right.tolist()]).view(np.int64))], names=["x", "size", "b"])
+
+    # a repeated doc_id's equal texts give the same rows
+    rows = written(texts.join(weak, "node", "left_semi").select("node", "text").mapInArrow(run, "x long, size long, b long").distinct())
     often = rows.groupBy("b").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    # one document's shingles in a window: its rarest come first, those of it alone before all
+    # one set's shingles in a window: its rarest come first, those of it alone before all
     rank = F.row_number().over(Window.partitionBy("x").orderBy("df", "b"))
     alone = F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("x"))
-    left = rows.join(often, "b").withColumns({"rank": rank, "alone": alone}).filter("rank + alone <= size - ceil(3 * size / 4) + 1").select("x", "size", "b")
-    return written(left)
-
-
-def _mixed(rare: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of shingles that are in two components, as yet, with the component r."""
+    left = rows.join(often, "b").withColumns({"rank": rank, "alone": alone}).filter("rank + alone <= size - ceil(3 * size / 4) + 1").select("x", "b")
+    out = written(left)
+    dropped(rows)
+    return out
+
+
+def _met(sets: list[np.ndarray], root: np.ndarray, size: np.ndarray, bits: np.ndarray, more: dict[int, np.ndarray]) -> np.ndarray:
+    """Pairs of rows of one bucket that share a shingle, are of two components and whose dense sketches may be of similar sets."""
+    b, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.lexsort((root[row], b))
+    b, row = b[order], row[order]
+    r, n = root[row], size[row]
+    found = [np.zeros((0, 2), np.int64)]
+    ends = np.concatenate((np.flatnonzero(np.diff(b)) + 1, [len(b)]))
+    # each entry is compared with those after it in its shingle's group that are of another component
+    last = ends[np.searchsorted(ends, np.arange(len(b)), "right")]
+    change = np.concatenate((np.flatnonzero((np.diff(b) != 0) | (np.diff(r) != 0)) + 1, [len(b)]))
+    at, here = change[np.searchsorted(change, np.arange(len(b)), "right")], np.arange(len(b))
+    while len(here):
+        live = at < last[here]
+        here, at = here[live], at[live]
+        for z in range(0, len(here), 1 << 16):
+            i, j = here[z : z + (1 << 16)], at[z : z + (1 << 16)]
+            ok = 4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])
+            i, j = row[i[ok]], row[j[ok]]
+            for words_ in (FOLDED, BITS // 64):
+                near_ = ~_far(size[i], size[j], bits[i, :words_], bits[j, :words_])
+                i, j = i[near_], j[near_]
+            for x, y in {(int(min(p)), int(max(p))) for p in zip(i, j)}:
+                if x not in more or y not in more or not _far(size[[x]], size[[y]], more[x][None], more[y][None])[0]:
+                    found.append(np.array([[x, y]]))
+        at = at + 1
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _rare_pairs(rare: DataFrame, roots: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Pairs (a, b) of two components that share a rare shingle and are within reach by their dense sketches.
+
+    Shingles are dealt to buckets; a set is sent once to each bucket that one of its rare shingles falls into, with its sketches, so
+    a pair beyond reach is never a row.
+    """
+    parts = int(rare.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = rare.join(roots.select(F.col("id").alias("x"), F.col("root").alias("r")), "x", "left").withColumn("r", F.coalesce("r", "x"))
     mixed = left.groupBy("b").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo < hi").select("b")
-    return left.join(mixed, "b", "left_semi")
+    left = left.join(mixed, "b", "left_semi")
+    # the rare shingles of one set in one bucket: at most a quarter of its shingles
+    sent = left.groupBy("x", F.pmod(F.xxhash64("b"), F.lit(parts)).alias("bucket")).agg(F.first("r").alias("r"), F.collect_list("b").alias("bs"))
+    rows = sent.join(sketch.withColumnRenamed("node", "x"), "x").select("bucket", "x", "r", "n_shingles", "bs", "bits", "more")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            x, r, n = (t.column(i).to_numpy() for i in (1, 2, 3))
+            bs = [np.array(v.values) for v in t.column(4).combine_chunks()]
+            large = {i: np.frombuffer(v.as_py(), "<u8") for i, v in enumerate(t.column(6)) if v.is_valid}
+            p = _met(bs, r, n, _blobs(t.column(5).combine_chunks(), BITS // 64), large)
+            a, b = x[p[:, 0]], x[p[:, 1]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for b in batches:
+            bucket = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if i < j:
+                    if bucket[i] != at and held:
+                        yield out()
+                        held = []
+                    at = bucket[i]
+                    held.append(b.slice(i, j - i))
+        if held:
+            yield out()
 
-def _rare_pairs(rare: DataFrame, roots: DataFrame, counts: DataFrame) -> DataFrame:
-    """Pairs of two components that share a shingle and are within reach."""
-    left = _mixed(rare, roots).select("b", "x", "r")
-    right = left.select(F.col("b").alias("b2"), F.col("x").alias("y"), F.col("r").alias("s"))
-    left, right = _with_parity(left, counts, "x", "l", FOLDED), _with_parity(right, counts, "y", "r", FOLDED)
-    # the bits are compared within the join: a pair beyond reach is no row
-    found = left.join(right, (F.col("b") == F.col("b2")) & (F.col("x") < F.col("y")) & (F.col("r") != F.col("s")) & _within("l", "r", FOLDED))
-    return found.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
-    counts = cut(shingle_counts(docs))
-    classes = counts.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "key", "key2").agg(F.min("doc_id").alias("rep"))
-    found = cut(candidates(docs).groupBy("a", "b", (F.col("n") < 0).alias("wide")).agg(F.sum("n").alias("n"), F.min("need").alias("need")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    counts = written(shingle_counts(docs))
+    classes = counts.filter("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    found = written(candidates(docs).groupBy("a", "b", (F.col("n") < 0).alias("wide")).agg(F.sum("n").alias("n"), F.min("need").alias("need")))
     wide = found.filter("wide").select("a", (-F.col("n")).alias("n_wide"), "need")
-    weak = cut(_weak(wide))
+    # more than a third as many full blocks in narrow runs as it has shingles: a set has met all its partners there
+    weak = wide.filter("n_wide >= need").select(F.col("a").alias("node"))
     of_wide = wide.select("a", "n_wide")
     pairs = found.filter("not wide").join(of_wide.withColumnRenamed("n_wide", "wa"), "a", "left")
     pairs = pairs.join(of_wide.select(F.col("a").alias("b"), F.col("n_wide").alias("wb")), "b", "left")
-    pairs = pairs.filter(F.col("n") + F.least(F.coalesce("wa", F.lit(0)), F.coalesce("wb", F.lit(0))) >= F.col("need")).select("a", "b", "n")
-    pairs = _with_parity(_with_parity(pairs, counts, "a", "l"), counts, "b", "r").filter(_within("l", "r")).select("a", "b", "n")
-    pairs = written(_within_large(pairs, counts).distinct())
-    # from here on only texts with a candidate are read
-    some = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(weak).distinct()
-    texts = written(docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").join(some, F.col("doc_id") == F.col("doc"), "left_semi"))
-    links = cut(verified(texts, pairs))
+    pairs = pairs.filter(F.col("n") + F.least(F.coalesce("wa", F.lit(0)), F.coalesce("wb", F.lit(0))) >= F.col("need")).select("a", "b")
+    some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(weak).distinct()
+    sketch = written(_sketch(counts, some))
+    pairs = written(near(pairs, sketch))
+    # from here on only texts with a candidate are read: of each node one document's, and that once
+    some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(weak).distinct()
+    wanted = classes.join(some, "node", "left_semi").withColumnRenamed("rep", "doc_id")
+    texts = docs.join(wanted, "doc_id").groupBy("doc_id", "node", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    texts = written(texts.select("node", "text"))
+    links = written(verified(texts, pairs))
     roots = components(links)
-    rest = cut(_rare_pairs(_rare(texts, weak), roots, counts))
+    rare = _rare(texts, weak)
+    rest = written(_rare_pairs(rare, roots, sketch))
     if not rest.isEmpty():
-        links = links.union(verified(texts, rest))
-        roots = components(links)
-    of_class = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "key", "key2", F.coalesce("root", "rep").alias("component_id"))
-    # exact copies share one class row; a large class is a join's split side, not a group
+        more = cut(verified(texts, rest))
+        if not more.isEmpty():
+            roots = components(links.union(more))
+    dropped(found, sketch, pairs, texts, links, rare, rest)
+    # a component's id: the smallest doc_id of its sets
+    members = roots.select(F.col("id").alias("node"), "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = members.join(classes, "node")
+    least = linked.groupBy("root").agg(F.min("rep").alias("least"))
+    of_node = classes.join(linked.join(least, "root").select("node", "least"), "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
+    # exact copies share one node's row; many of them are a join's split side, not a group
     return (
-        counts.join(of_class, ["n_shingles", "key", "key2"], "left")
+        counts.select("doc_id", "n_shingles", "node")
+        .join(of_node.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     )
 

@@ -297,6 +297,28 @@ def test_jaccard_join_by_plain_pairs(spark):
     assert got == {i: (len(sets[i]), expected[i]) for i in sets}
 
 
+def test_repeated_ids_are_linked_row_by_row(spark):
+    a, x = prose(60), prose(60)
+    near = " ".join(a.split(" ")[:-1])
+    for rows in ([(1, a), (1, x), (2, near)], [(1, x), (2, x), (1, a), (2, near), (1, a)]):
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        least = {t: min(i for i, y in rows if y == t or {y, t} == {a, near}) for _, t in rows}
+        assert got == sorted((i, len(shingles(t)), least[t]) for i, t in rows)
+
+
+def test_families_near_the_threshold(spark):
+    """Many texts of one origin with similarities on both sides of 0.75: wide runs that links do not settle."""
+    texts = []
+    for n in (40, 250):
+        origin = prose(n)
+        texts += [edited(origin, R.choice([0.015, 0.025, 0.03, 0.035])) for _ in range(60)]
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    expected = components(sets)
+    assert 1 < len(set(expected.values())) < len(texts)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(frame(spark, texts)).collect()}
+    assert got == expected
+
+
 def test_every_linked_pair_shares_a_sketch_or_is_wide():
     for n in (1, 3, 5, 9, 15, 40, 111, 300):
         for _ in range(40):
