@@ -259,12 +259,68 @@ def test_forward_sums_all_segmentations():
         whole = language_id.MARK + word
         alpha = [np.ones(2)] + [np.zeros(2) for _ in whole]
         for e in range(1, len(whole) + 1):
-            for s in range(max(0, e - language_id.PIECE_BYTES), e):
+            for s in range(e):
                 if (q := piece(whole[s:e])) >= 0:
                     alpha[e] = alpha[e] + alpha[s] * p[q]
         assert np.allclose(np.log(alpha[-1]), logs)
 
 
+def test_words_of_any_length_and_rare_letters_have_finite_scores(spark):
+    t = language_id.trie(language_id.vocabulary_path())
+    r = np.random.default_rng(4)
+    p = r.dirichlet(np.full(t.n_pieces, 0.05), 2).T + 1e-9
+    p /= p.sum(axis=0)
+    word = "".join(R.choice("abcdeé") for _ in range(700)).encode()
+    got = language_id.word_logs(t, np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]), p)[0]
+    whole, log = language_id.MARK + word, np.log(p)
+    alpha = np.full((len(whole) + 1, 2), -np.inf)
+    alpha[0] = 0
+    for s in range(len(whole)):
+        node = 0
+        for e in range(s + 1, len(whole) + 1):
+            node = t.child[node, t.kind[whole[e - 1]]]
+            if node < 0:
+                break
+            if t.piece[node] >= 0:
+                alpha[e] = np.logaddexp(alpha[e], alpha[s] + log[t.piece[node]])
+    assert np.allclose(alpha[-1], got)
+    model = (["x", "y"], np.log([0.5, 0.5]), np.full((t.n_pieces, 2), 1.0 / t.n_pieces))
+    model[2][5] = 1e-12
+    rows = language_id.identify(frame(spark, ["𐎀" * 12, "ݐ" * 24, "q" * 200_000, "中" * 9_000 + " ok"]), model).collect()
+    assert all(r["lang_pred"] in ("x", "y") and 0 < r["score"] <= 1 for r in rows)
+
+
+def test_em_by_plain_forward_backward():
+    t = language_id.trie(language_id.vocabulary_path())
+    p = np.random.default_rng(3).dirichlet(np.ones(t.n_pieces), 2).T
+    ws, code, n = [b"house", b"on", "thé".encode()], np.array([0, 1, 1]), np.array([2.0, 1.0, 3.0])
+    at = np.cumsum([0, *map(len, ws)])
+    counts = np.zeros_like(p)
+    big, _ = language_id.scaled(t, p, 51)
+    language_id._expect(t, *language_id.marked(np.frombuffer(b"".join(ws), np.uint8), at[:-1], at[1:]), big, code, n, counts)
+    want = np.zeros_like(p)
+    for w, c, k in zip(ws, code, n):
+        whole, found = language_id.MARK + w, []
+
+        def cut(s, used, q):
+            if s == len(whole):
+                found.append((used, q))
+            node = 0
+            for e in range(s, len(whole)):
+                node = t.child[node, t.kind[whole[e]]]
+                if node < 0:
+                    return
+                if t.piece[node] >= 0:
+                    cut(e + 1, [*used, t.piece[node]], q * p[t.piece[node], c])
+
+        cut(0, [], 1.0)
+        total = sum(q for _, q in found)
+        for used, q in found:
+            for i in used:
+                want[i, c] += k * q / total
+    assert np.allclose(counts, want)
+
+
 def test_language_on_odd_input(spark, odd, none):
     rows = language_id.train_and_identify(odd).collect()
     assert len(rows) == odd.count()
