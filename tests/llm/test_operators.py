@@ -155,6 +155,22 @@ def test_hmm_base_and_likelihood(spark):
         assert r["score"] < 0
 
 
+def test_long_texts_are_scored_by_the_same_recursion(spark):
+    r = np.random.default_rng(8)
+    m = hmm_scoring.Model(r.dirichlet(np.ones(3)), r.dirichlet(np.ones(3), 3), r.dirichlet(np.ones(9), 3).T.copy())
+    seqs = [r.integers(0, 9, n) for n in (hmm_scoring.STEPS * 2 + 17, 40, hmm_scoring.STEPS)]
+    kept, _ = hmm_scoring.forward(m, seqs, True)
+    assert np.allclose(hmm_scoring.forward(m, seqs), kept, rtol=1e-12)
+
+
+def test_training_beats_the_unigram_on_topics(spark):
+    topics = [[f"t{k}w{j}" for j in range(60)] for k in range(4)]
+    texts = [" ".join(R.choice(topics[i % 4]) for _ in range(80)) for i in range(200)]
+    docs = frame(spark, texts).select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 10 == 0).alias("held_out"))
+    rows = hmm_scoring.score(docs).filter("held_out").collect()
+    assert sum(x["score"] for x in rows) > 0.9 * sum(x["base_score"] for x in rows)  # log10: a tenth nearer to 0
+
+
 def test_forward_and_expected_counts_by_plain_recursion():
     r = np.random.default_rng(2)
     k, s = 3, 7
@@ -200,9 +216,26 @@ def test_poisson_steps(spark):
         assert np.allclose(steps, np.cumsum(exact), atol=1e-9) and steps[-1] > 1 - 1e-9
 
 
-def test_mix_on_odd_input(odd, none):
-    out = source_mix.mix(odd)
-    assert set(odd.columns) <= set(out.columns) and out.count() >= 0
+def test_rates_of_any_size_are_drawn(spark):
+    docs = spark.createDataFrame([(i, "x" * 600, "large") for i in range(1000)] + [(5000, "y", "small"), (5001, "", "none")], "doc_id long, text string, source string")
+    out = source_mix.mix(docs)
+    n = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
+    rate = {r["_source"]: r["rate"] for r in source_mix.rates(docs).collect()}
+    assert rate["small"] > source_mix.PART and abs(n["small"] - rate["small"]) < 6 * rate["small"] ** 0.5
+    many = source_mix.mix(docs.filter("source <> 'none'"), {"small": 1.0}, budget=0.2)
+    copies = many.agg(F.count("*"), F.max("copy_no"), F.count_distinct("copy_no"), F.max("n_copies")).first()
+    assert abs(copies[0] - 120_000) < 6 * 120_000**0.5 and copies[0] == copies[1] == copies[2] == copies[3]
+
+
+def test_mix_on_odd_input(spark, odd, none):
+    out = source_mix.mix(odd.withColumns({"_source": F.lit("c"), "steps": F.lit("c"), "block": F.lit("c"), "n_copies": F.lit("c")}), budget=4.0)
+    rows = out.collect()
+    assert set(odd.columns) <= set(out.columns) and rows and all(r["_source"] == r["steps"] == r["block"] == "c" for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault((r["doc_id"], r["copy_no"], r["text"]), []).append(r["n_copies"])
+    # repeated rows draw alike
+    assert all(len(v) == (2 if k[0] == 1 else 1) and k[1] <= v[0] for k, v in by.items())
     assert source_mix.mix(none).count() == 0
 
 
@@ -221,7 +254,9 @@ def test_quality_rules_by_plain_code(spark, odd):
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == expected
         assert r["base_failed"] == (len(w) < 50 or 2 * expected[-1] > len(w)) and not (r["base_failed"] and r["kept"])
-    assert quality_rules.judge(odd).count() == odd.count()
+    clash = quality_rules.judge(odd.withColumns({"_words": F.lit("c"), "_lines": F.lit("c"), "n_symbols": F.lit("c")})).collect()
+    assert len(clash) == odd.count() and all(r["_words"] == r["_lines"] == "c" and r["n_symbols"] in range(100) for r in clash)
+    assert quality_rules.judge(odd.limit(0)).count() == 0
 
 
 # ---- 7
@@ -422,7 +457,8 @@ def test_line_dedup_drops_what_is_left_empty(spark):
 
 
 def test_line_dedup_on_odd_input(odd, none):
-    out = line_dedup.clean(odd)
+    out = line_dedup.clean(odd.withColumns({"_kept": F.lit("c"), "gone": F.lit("c"), "_doc": F.lit("c"), "kept": F.lit("c")}))
+    assert all(r["_kept"] == r["gone"] == r["_doc"] == r["kept"] == "c" for r in out.collect())
     assert out.count() == odd.count() and len(out.columns) == len(set(out.columns))
     assert line_dedup.clean(none).count() == 0
 
@@ -467,4 +503,8 @@ def test_decontamination_on_odd_input(spark, odd, none):
     out = decontamination.decontaminate(odd, bench)
     assert out.count() == odd.count() - 2 and out.columns == odd.columns
     assert decontamination.decontaminate(none, bench).count() == 0
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(None, item), (None, "clean words here"), (None, "others"), (7, item), (7, "clean seven"), (8, "clean eight"), (None, None)]
+    own = decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted(own, key=str) == sorted([r for r in rows if r[1] != item], key=str)
     assert decontamination.decontaminate(odd, bench.limit(0)).count() == odd.count()
