@@ -12,16 +12,18 @@ with one unknown word for each shared symbol, as the base has one in all.  A tex
 exact log10 likelihood by the scaled forward recursion over the whole sequence, plus its shares.
 
 Training is Baum-Welch: in each of ROUNDS rounds every task runs forward-backward over all
-its training texts, whole, and the expected counts (states x symbols, states x states) are summed by
-Spark; what reaches the driver has that fixed size.  The start is a mixture of unigrams fitted to at
-most SAMPLE texts of the training rows with the smallest hash of doc_id; it is only where the rounds begin.
+its training texts, and the expected counts (states x symbols, states x states) are summed by
+Spark; what reaches the driver has that fixed size.  The start is a mixture of unigrams, one for each state, over the same texts:
+every text draws its shares from a hash of its symbols, and START rounds of EM sum its counts over all training texts as well.
+A text of more than LONGEST tokens is learned from in parts of that length, and scored whole.
 
 Texts are read twice; then only their symbols and rare words are kept, in a table in the
 shared folder.  The counts of the COMMON most frequent words are broadcast (12 bytes each); rarer words are
 joined by hash, a distinct word of a text once.  Words are told apart by 64-bit hashes.
 
 Null texts and empty texts have one token, the end.  Repeated rows are scored alike; a null doc_id
-is held in for training.  Without training rows every count is 0 and the symbols are uniform.
+is held in for training.  Without training rows every count is 0 and the symbols are uniform.  Words equally frequent are
+ranked by hash.  Columns other than doc_id, text and held_out are left out; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -41,7 +43,10 @@ ROUNDS = 3
 TOP = 8192
 SUFFIXES = 2048
 COMMON = 262_144
-SAMPLE = 1500
+#: Rounds of the mixture that the model starts from.
+START = 4
+#: Tokens that forward-backward holds of one text, and steps whose emissions the forward recursion holds.
+LONGEST, STEPS = 1 << 18, 1 << 15
 N_SYMBOLS = 1 + TOP + SUFFIXES
 ADD = 0.1
 #: Bytes of symbols, two a token, that share the recursion's steps.
@@ -221,23 +226,27 @@ def _groups(seqs: list[np.ndarray], most: int = 600_000):
 
 
 def forward(m: Model, seqs: list[np.ndarray], keep: bool = False):
-    """log10 likelihood of each sequence (none is empty)."""
+    """log10 likelihood of each sequence (none is empty); with keep, what the backward recursion needs."""
     order, length, active, first, flat = _aligned(seqs)
-    e = m.emit[flat]
-    alpha = np.empty_like(e) if keep else None
-    scale = np.empty(len(flat))
-    a = None
+    cells = len(flat)
+    e = m.emit[flat] if keep else None
+    alpha = np.empty((cells, m.emit.shape[1])) if keep else None
+    scale = np.empty(cells) if keep else None
+    logs = np.zeros(len(seqs))
+    a, part, begin = None, e, 0
     for t, n in enumerate(active):
         z = first[t]
-        a = (m.start * e[z : z + n]) if t == 0 else (a[:n] @ m.move) * e[z : z + n]
+        if not keep and (part is None or z + n > begin + len(part)):
+            # the emissions of some steps at a time
+            last = int(np.searchsorted(first, z + max(STEPS, n), "right")) - 1
+            begin, part = z, m.emit[flat[z : first[last]]]
+        x = part[z - begin : z - begin + n]
+        a = (m.start * x) if t == 0 else (a[:n] @ m.move) * x
         c = a.sum(axis=1)
         a /= c[:, None]
-        scale[z : z + n] = c
+        logs[:n] += np.log10(c)
         if keep:
-            alpha[z : z + n] = a
-    # sums by sequence: cell -> rank
-    rank = np.concatenate([np.arange(n) for n in active])
-    logs = np.bincount(rank, np.log10(scale), len(seqs))
+            alpha[z : z + n], scale[z : z + n] = a, c
     out = np.empty(len(seqs))
     out[order] = logs
     return (out, (active, first, flat, e, alpha, scale)) if keep else out
@@ -263,57 +272,79 @@ def expected(m: Model, seqs: list[np.ndarray], emit: np.ndarray, move: np.ndarra
         emit[:, s] += np.bincount(flat, alpha[:, s], len(emit))
 
 
-def _start_model(rows: list[bytes], prior: np.ndarray, states: int, rounds: int = 12) -> Model:
-    """A mixture of unigrams over whole texts, as a model that seldom changes its state."""
-    share = prior / prior.sum()
-    emit = np.repeat(share[:, None], states, axis=1)
-    seqs = [np.frombuffer(x, "<u2").astype(np.int64) for x in rows]
-    if seqs:
-        doc = np.repeat(np.arange(len(seqs)), [len(x) for x in seqs])
-        flat = np.concatenate(seqs)
-        noise = np.random.default_rng(5)
-        post = noise.dirichlet(np.full(states, 0.3), len(seqs))
-        for _ in range(rounds):
-            counts = np.stack([np.bincount(flat, post[doc, s], len(prior)) for s in range(states)], 1) + 2.0 * share[:, None] * 10
-            emit = counts / counts.sum(axis=0)
-            weight = post.mean(axis=0) + 1e-3
-            logs = np.stack([np.bincount(doc, np.log(emit[flat, s]), len(seqs)) for s in range(states)], 1)
-            # tempered: long texts would freeze the first assignment
-            logs = np.log(weight) + logs / np.maximum(1, np.bincount(doc, minlength=len(seqs))[:, None] / 60)
-            post = np.exp(logs - logs.max(axis=1, keepdims=True))
-            post /= post.sum(axis=1, keepdims=True)
-    move = np.full((states, states), 0.1 / max(1, states - 1))
-    np.fill_diagonal(move, 0.9)
-    return Model(np.full(states, 1 / states), move, emit)
+def _initial(x: np.ndarray, states: int) -> np.ndarray:
+    """A text's first shares of the states: exponential numbers drawn from a hash of its symbols, cubed to be uneven."""
+    h = mix(x.astype(_U) + _U(1)).sum(dtype=_U) + np.arange(1, states + 1, dtype=_U)
+    u = ((mix(h) >> _U(11)).astype(float) + 0.5) / float(1 << 53)
+    w = (-np.log(u)) ** 3
+    return w / w.sum()
+
 
+def _mixed(seqs: list[np.ndarray], emit: np.ndarray | None, weight: np.ndarray | None, states: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Expected counts by symbol and state, and shares of the states, of a mixture of unigrams over whole texts."""
+    if emit is None:
+        post = np.stack([_initial(x, states) for x in seqs])
+    else:
+        log = np.log(emit)
+        logs = np.stack([log[x].sum(axis=0) / max(1.0, len(x) / 60) for x in seqs]) + np.log(weight)  # tempered: long texts would freeze the first shares
+        post = np.exp(logs - logs.max(axis=1, keepdims=True))
+        post /= post.sum(axis=1, keepdims=True)
+    doc = np.repeat(np.arange(len(seqs)), [len(x) for x in seqs])
+    flat = np.concatenate(seqs)
+    return np.stack([np.bincount(flat, post[doc, s], n) for s in range(states)], 1), post.sum(axis=0)
 
-def train(table: DataFrame, prior: np.ndarray, states: int = STATES, rounds: int = ROUNDS, sample: int = SAMPLE) -> Model:
-    """Baum-Welch over all rows of table that aren't held out."""
+
+def train(table: DataFrame, prior: np.ndarray, states: int = STATES, rounds: int = ROUNDS, start_rounds: int = START) -> Model:
+    """A mixture's rounds, then Baum-Welch's, over all rows of table that aren't held out."""
     sc = table.sparkSession.sparkContext
-    own = table.filter("not held_out").select("row_id", "symbols", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("_h"))
-    # the part of the rows in which twice the sample is expected, then the first of them
-    few = own.filter(F.col("_h") * F.lit(max(1, own.count())) <= F.lit((2 * sample + 100) * (1 << 30)))
-    rows = few.orderBy("_h", "row_id").limit(sample).select("symbols").collect()
-    m = _start_model([r[0] for r in rows], prior, states)
     n = len(prior)
     share = prior / prior.sum()
-    for _ in range(rounds):
-        sent = sc.broadcast(m)
+    rows = table.filter("not held_out").select("symbols")
+
+    def summed(task) -> np.ndarray:
+        """The sums over all texts of what task(sequences, emit, move, start) adds."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = sent.value
             emit, move, start = np.zeros((n, states)), np.zeros((states, states)), np.zeros(states)
             for b in gathered(batches, 0, GATHERED):
-                seqs = [np.frombuffer(x, "<u2") for x in b.column(0).to_pylist()]
+                seqs = [np.frombuffer(x.as_py(), "<u2") for x in b.column(0)]
+                seqs = [x[i : i + LONGEST] for x in seqs for i in range(0, len(x), LONGEST)]
                 for group in _groups(seqs):
-                    expected(m, [seqs[i] for i in group], emit, move, start)
+                    task([seqs[i] for i in group], emit, move, start)
             out = np.concatenate([emit.ravel(), move.ravel(), start])
             at = np.flatnonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(out[at])], names=["i", "x"])
 
-        sums = table.filter("not held_out").select("symbols").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+        sums = rows.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
         flat = np.zeros(n * states + states * states + states)
         flat[sums["i"].to_numpy()] = sums["x"].to_numpy()
+        return flat
+
+    emit = weight = None
+    for _ in range(start_rounds):
+        sent = sc.broadcast((emit, weight))
+
+        def mixture(seqs, emit, move, start):
+            counts, shares = _mixed(seqs, *sent.value, states, n)
+            emit += counts
+            start += shares
+
+        flat = summed(mixture)
+        sent.destroy()
+        counts = flat[: n * states].reshape(n, states) + 20.0 * share[:, None]
+        emit, weight = counts / counts.sum(axis=0), flat[-states:] + 1e-3
+        weight = weight / weight.sum()
+    move = np.full((states, states), 0.1 / max(1, states - 1))
+    np.fill_diagonal(move, 0.9)
+    m = Model(np.full(states, 1 / states), move, np.repeat(share[:, None], states, axis=1) if emit is None else emit)
+    for _ in range(rounds):
+        sent = sc.broadcast(m)
+
+        def baum_welch(seqs, emit, move, start):
+            expected(sent.value, seqs, emit, move, start)
+
+        flat = summed(baum_welch)
+        sent.destroy()
         emit = flat[: n * states].reshape(n, states) + 10.0 * share[:, None]
         move = flat[n * states : -states].reshape(states, states) + 0.1
         start = flat[-states:] + 0.1
