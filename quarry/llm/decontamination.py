@@ -17,8 +17,10 @@ of those, and L / 8 - 1 windows; an end's changed word costs one shingle of L -
 
 Only DataFrame functions run.  The items' fingerprints are broadcast if a count says they are
 at most BROADCAST_ROWS, else both sides are shuffled.  Null, empty and blank texts and items meet nothing;
-items under five words are one shingle.  Rows that repeat a doc_id (or have a null one)
-are searched each and reported under that id.
+items under five words are one shingle.  A row is known by its doc_id and a hash of its text: rows that repeat a doc_id
+(or have a null one) are searched each by its own text, `search` reports an id's best place over all of them, and
+`decontaminate` drops the rows whose own text holds an item.  Other columns pass through `decontaminate`, whatever their names; an empty
+table of documents or items finds nothing.
 """
 
 from __future__ import annotations
@@ -118,23 +120,23 @@ def similarity(p: Column, q: Column) -> Column:
 
 def _verify(cands: DataFrame, docs: DataFrame, items: DataFrame, text: str, doc_id: str, item_text: str) -> DataFrame:
     # the places to compare in one document with one item, together: its text is cut once
-    places = cands.groupBy("doc", "item_id").agg(F.collect_set("start").alias("starts"))
-    d = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    places = cands.groupBy("doc", "th", "item_id").agg(F.collect_set("start").alias("starts"))
+    d = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text"))
     full = items.select("item_id", F.col(item_text).alias("_item"))
-    near = places.join(d, places["doc"].eqNullSafe(d["_id"])).join(full, "item_id")
+    near = places.join(d, places["doc"].eqNullSafe(d["_id"]) & (places["th"] == d["_th"])).join(full, "item_id")
     compare = lambda dw, iw: F.transform("starts", lambda s: F.struct(s.alias("start"), similarity(F.slice(dw, s + 1, F.size(iw)), iw).alias("similarity")))
     all_ = _bind(words(F.col("_text")), lambda dw: _bind(words(F.col("_item")), lambda iw: compare(dw, iw)))
-    return near.select("doc", "item_id", F.inline(F.filter(all_, lambda x: x["similarity"] >= SIMILARITY)))
+    return near.select("doc", "th", "item_id", F.inline(F.filter(all_, lambda x: x["similarity"] >= SIMILARITY)))
 
 
-def search(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text") -> DataFrame:
-    """(doc, item_id, start_word, similarity): the best place of each item found in each document."""
+def places(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text") -> DataFrame:
+    """(doc, th, item_id, start, similarity): every place found, by doc_id and the text's hash."""
     hashed = lambda t: F.transform(words(F.col(t)), lambda w: F.xxhash64(w))
     h = items.select("item_id", hashed(item_text).alias("h")).filter(F.size("h") > 0)
     of_size = reduce(lambda a, c: F.when(F.size("h") >= LEAST[c], c).otherwise(a), sorted(CLASSES), F.lit(1))
     h = h.withColumn("c", of_size)
     found = []
-    d = docs.select(F.col(doc_id).alias("doc"), hashed(text).alias("h"))
+    d = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("th"), hashed(text).alias("h"))
     for c in sorted(r["c"] for r in h.select("c").distinct().collect()):  # at most four numbers
         wanted = simhash(_windows(h.filter(F.col("c") == c).drop("c"), c, 1), c).select("item_id", F.col("at").alias("offset"), "fp")
         wanted = _parts(wanted, c).select("item_id", "offset", F.col("fp").alias("item_fp"), "key")
@@ -142,19 +144,25 @@ def search(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str =
             wanted = F.broadcast(wanted)
         met = _parts(simhash(_windows(d, c, c), c), c).join(wanted, "key")
         met = met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-        found.append(met.select("doc", "item_id", (F.col("at") - F.col("offset")).alias("start")))
+        found.append(met.select("doc", "th", "item_id", (F.col("at") - F.col("offset")).alias("start")))
     if not found:
-        return docs.select(F.col(doc_id).alias("doc"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start_word"), F.lit(0.0).alias("similarity")).filter(F.lit(False))
+        none = [F.lit(0).cast("long").alias("th"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity")]
+        return docs.select(F.col(doc_id).alias("doc"), *none).filter(F.lit(False))
     shifts = F.array(*[F.lit(k) for k in range(-SHIFT, SHIFT + 1)])
-    cands = reduce(DataFrame.union, found).distinct().withColumn("_k", F.explode(shifts)).select("doc", "item_id", (F.col("start") + F.col("_k")).alias("start")).filter("start >= 0").distinct()
-    best = _verify(cands, docs, items, text, doc_id, item_text).groupBy("doc", "item_id").agg(F.max(F.struct("similarity", -F.col("start"))).alias("m"))
+    cands = reduce(DataFrame.union, found).distinct().withColumn("_k", F.explode(shifts)).select("doc", "th", "item_id", (F.col("start") + F.col("_k")).alias("start")).filter("start >= 0").distinct()
+    return _verify(cands, docs, items, text, doc_id, item_text)
+
+
+def search(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text") -> DataFrame:
+    """(doc, item_id, start_word, similarity): the best place of each item found in each document."""
+    best = places(docs, items, text, doc_id, item_text).groupBy("doc", "item_id").agg(F.max(F.struct("similarity", -F.col("start"))).alias("m"))
     return best.select("doc", "item_id", (-F.col("m.col2")).alias("start_word"), F.col("m.similarity").alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without those that contain an item."""
-    hits = search(docs, items, text, doc_id).select("doc").distinct()
-    return docs.join(hits, docs[doc_id].eqNullSafe(hits["doc"]), "left_anti")
+    """docs without the rows that contain an item."""
+    hits = places(docs, items, text, doc_id).select("doc", "th").distinct()
+    return docs.join(hits, docs[doc_id].eqNullSafe(hits["doc"]) & (F.xxhash64(docs[text]) == hits["th"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
