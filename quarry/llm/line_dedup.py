@@ -11,7 +11,8 @@ that has it and goes from all others, so nothing vanishes from the corpus.
 Lines are cut at \n; blank lines are never removed.  A document that loses all its lines
 with text is dropped by `clean` (its text is kept elsewhere).  Null and empty
 texts pass unchanged.  A null source counts as a site of its own.  Rows that
-repeat a doc_id are treated alike, by hash of the line.  Other columns pass through.
+repeat a doc_id are treated alike, by hash of the line.  Other columns pass through, whatever their names, but n_removed_lines and
+n_left_lines are replaced.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.tables import unused
+
 MIN_SITES = 10
 MARGIN = 0.25
 LG_K = 10
@@ -49,11 +52,9 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MAR
         .filter(F.col("_estimate") >= min_sites * (1 - margin))
         .withColumn("_near", F.col("_estimate") <= min_sites * (1 + margin))
     )
-    # partial distinct in each task, before any join: a hot line adds at most one row for each site and task
-    near = sketched.filter("_near").select("_line")
-    sites = occ.groupBy("_line", "_site").agg(F.lit(1).alias("_one"))
-    exact = sites.join(near, "_line", "left_semi").groupBy("_line").agg(F.count(F.lit(1)).alias("_exact"))
-    judged = sketched.join(exact, "_line", "left").withColumn("spread", F.coalesce("_exact", "_estimate"))
+    # distinct (line, site) rows are dealt by both, then counted in each task: a line on very many sites is one row a task
+    exact = occ.groupBy("_line", "_site").agg(F.lit(1).alias("_one")).groupBy("_line").agg(F.count(F.lit(1)).alias("_count"))
+    judged = sketched.join(exact, "_line").withColumn("_exact", F.when(F.col("_near"), F.col("_count"))).withColumn("spread", F.coalesce("_exact", "_estimate"))
     return judged.filter(F.col("spread") >= min_sites).select("_line", "spread", F.col("_exact").isNotNull().alias("exact"), "first_doc")
 
 
@@ -70,24 +71,27 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN, t
     """docs with `text` cleaned, and n_removed_lines, n_left_lines."""
     gone = removals(docs, min_sites, margin, text, source, doc_id)
     columns = [c for c in docs.columns if c not in ("n_removed_lines", "n_left_lines")]
-    joined = docs.join(gone, docs[doc_id] == gone["_doc"], "left").drop("_doc")
+    docs = docs.select(*[F.col(f"`{c}`") for c in columns])
+    _doc, _gone, _kept = unused(docs, "doc_of", "gone", "kept")
+    gone = gone.withColumnsRenamed({"_doc": _doc, "_gone": _gone})
+    joined = docs.join(gone, docs[doc_id] == gone[_doc], "left").drop(_doc)
     lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_gone"), line_hash(trimmed(x))))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(_gone), line_hash(trimmed(x))))
     text_lines = lambda a: F.size(F.filter(a, lambda x: trimmed(x) != ""))
-    hit = F.col("_gone").isNotNull() & F.col(text).isNotNull()
-    out = joined.withColumn("_kept", F.when(hit, kept))
+    hit = F.col(_gone).isNotNull() & F.col(text).isNotNull()
+    out = joined.withColumn(_kept, F.when(hit, kept))
     out = out.withColumns(
         {
-            "n_removed_lines": F.when(hit, (F.size(lines) - F.size("_kept")).cast("long")).otherwise(F.lit(0).cast("long")),
-            "n_left_lines": text_lines(F.when(hit, F.col("_kept")).otherwise(F.coalesce(lines, F.array().cast("array<string>")))).cast("long"),
+            "n_removed_lines": F.when(hit, (F.size(lines) - F.size(_kept)).cast("long")).otherwise(F.lit(0).cast("long")),
+            "n_left_lines": text_lines(F.when(hit, F.col(_kept)).otherwise(F.coalesce(lines, F.array().cast("array<string>")))).cast("long"),
         }
-    ).withColumn(text, F.when(hit, F.array_join("_kept", "\n")).otherwise(F.col(text)))
+    ).withColumn(text, F.when(hit, F.array_join(_kept, "\n")).otherwise(F.col(text)))
     if n_chars and n_chars in columns:
         out = out.withColumn(n_chars, F.when(hit, F.length(text).cast("long")).otherwise(F.col(n_chars)))
-    out = out.drop("_kept", "_gone")
+    out = out.drop(_kept, _gone)
     if drop_empty:
         out = out.filter((F.col("n_removed_lines") == 0) | (F.col("n_left_lines") > 0))
-    return out.select(*columns, "n_removed_lines", "n_left_lines")
+    return out.select(*[F.col(f"`{c}`") for c in columns], "n_removed_lines", "n_left_lines")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
