@@ -6,12 +6,14 @@ maximum of a document's chunk vectors go through a logistic unit: one probabilit
 its quality label is 1.
 
 Training is plain backpropagation with Adam on the driver, over at most `sample` labelled documents
-(those with the smallest hash of doc_id among the rows learned from), whole texts; every text is scored
-whole.  Executors get the weights, some tens of kB, and see a bounded number of chunks at once.
+(those with the smallest hash of doc_id among the rows learned from); every text is scored
+whole.  Of a text longer than LEARNED characters, training takes as many, in chunks spread evenly over all of it: the sample's size
+on the driver is bounded.  Filters are evaluated at every STRIDE-th byte.  Executors get the weights, some tens of kB, and see a bounded number of chunks at once.
 
 Null and empty texts are one chunk of padding and get the network's answer to it.  Labels without a value
 are left out; a doc_id with several labels has their smallest.  Without any
-training row the score is 0.5 throughout.  Repeated rows are scored alike.
+training row the score is 0.5 throughout.  Repeated rows are scored alike; a repeated doc_id is learned from once, by its smallest text (ties are equal
+texts).  Columns other than doc_id, held_out and text are left out; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ STRIDE = 4
 DIM = 8
 FILTERS = 24
 SAMPLE = 4000
+#: Characters that training takes of one text.
+LEARNED = 1 << 18
 EPOCHS = 6
 BATCH = 64
 RATE = 4e-3
@@ -157,9 +161,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int =
     """labels: (doc_id, quality) rows to learn from."""
     few = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # a fixed number of ids
-    rows = docs.select("doc_id", F.col(text).alias("_text")).filter("_text is not null").join(F.broadcast(few), "doc_id").select("doc_id", "_text", "quality").collect()
-    rows.sort(key=lambda r: (r[0], r[1]))
-    return fit([r[1] for r in rows], [int(r[2]) for r in rows])
+    n = LEARNED // CHUNK
+    start = lambda i: F.floor(i * (F.length("_text") - CHUNK) / (n - 1)).cast("int") + 1
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring("_text", start(i), F.lit(CHUNK))), "")
+    own = docs.select("doc_id", F.col(text).alias("_text")).filter("_text is not null").join(F.broadcast(few), "doc_id")
+    own = own.select("doc_id", "quality", F.when(F.length("_text") <= LEARNED, F.col("_text")).otherwise(spread).alias("_text"))
+    rows = own.groupBy("doc_id", "quality").agg(F.min("_text").alias("_text")).collect()  # at most `sample` rows of bounded size
+    rows.sort(key=lambda r: r["doc_id"])
+    return fit([r["_text"] for r in rows], [int(r["quality"]) for r in rows])
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:

@@ -7,8 +7,8 @@ the task that reads it.
 
 Null text counts as a text without words; documents under `min_words` fail the
 base test, so null, empty and blank texts have base_failed = true, kept = false.
-Ties and repeated rows are judged row by row; other columns are left out of
-account.
+Ties and repeated rows are judged row by row.  Other columns pass through `judge`; those named as a metric, base_failed or
+kept are replaced.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ RULES = (
 )
 
 BLANK = r"[ \t-\r]+"
+#: Names of the arrays between the two layers; no input column has them.
+WORDS, LINES = "quality_rules:words", "quality_rules:lines"
 
 
 def _bind(value: Column, body) -> Column:
@@ -73,8 +75,8 @@ def metrics(text: str = "text") -> dict[str, Column]:
     """Columns by metric, in two layers: arrays first, then numbers."""
     t = F.coalesce(F.col(text), F.lit(""))
     return {
-        "_words": F.filter(F.split(t, BLANK), lambda w: w != ""),
-        "_lines": F.filter(F.split(t, "\n"), lambda x: F.rtrim(F.regexp_replace(x, BLANK, " ")) != ""),
+        WORDS: F.filter(F.split(t, BLANK), lambda w: w != ""),
+        LINES: F.filter(F.split(t, "\n"), lambda x: F.rtrim(F.regexp_replace(x, BLANK, " ")) != ""),
         "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
     }
 
@@ -84,17 +86,17 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     found = docs.withColumns(metrics(text)).withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.aggregate("_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)),
-            "n_stop": F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": _repeat_words(F.col("_words")).cast("long"),
-            "n_bullets": F.size(F.filter("_lines", lambda x: x.rlike(r"^[ \t]*[-*•]"))).cast("long"),
-            "n_ellipses": F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)[ \t]*$"))).cast("long"),
+            "n_words": F.size(WORDS).cast("long"),
+            "word_chars": F.aggregate(WORDS, F.lit(0).cast("long"), lambda a, w: a + F.length(w)),
+            "n_stop": F.size(F.filter(WORDS, lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"),
+            "n_lines": F.size(LINES).cast("long"),
+            "n_dup_lines": (F.size(LINES) - F.size(F.array_distinct(LINES))).cast("long"),
+            "n_repeat_words": _repeat_words(F.col(WORDS)).cast("long"),
+            "n_bullets": F.size(F.filter(LINES, lambda x: x.rlike(r"^[ \t]*[-*•]"))).cast("long"),
+            "n_ellipses": F.size(F.filter(LINES, lambda x: x.rlike(r"(\.\.\.|…)[ \t]*$"))).cast("long"),
         }
     )
-    return found.drop("_words", "_lines").withColumns(
+    return found.drop(WORDS, LINES).withColumns(
         {
             "mean_word_chars": ratio("word_chars", "n_words"),
             "symbols_per_word": ratio("n_symbols", "n_words"),
