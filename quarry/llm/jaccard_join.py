@@ -128,18 +128,17 @@ def _parity(s: np.ndarray, bits: int) -> bytes:
 
 
 def shingle_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, key2, bits, more) of docs (doc_id, text): equal node and key2 mean equal sets; bits: parity; more: that of large sets."""
+    """(doc_id, th, n_shingles, node, bits, more) of docs (doc_id, text): th: a hash of the text; equal nodes mean equal sets; bits: parity; more: that of large sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = _sets(b.column(1))
-            xor = [np.bitwise_xor.reduce(mix(x)) if len(x) else _U(0) for x in sets]
+            sets = _sets(b.column(2))
             bits = pa.array([_parity(x, BITS) if len(x) else None for x in sets], pa.binary())
             more = pa.array([_parity(x, MORE_BITS) if len(x) >= LARGE else None for x in sets], pa.binary())
-            cols = [pa.array([len(x) for x in sets], pa.int64()), pa.array(_set_keys(sets).view(np.int64)), pa.array(np.array(xor, _U).view(np.int64), pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, bits, more], names=["doc_id", "n_shingles", "node", "key2", "bits", "more"])
+            cols = [pa.array([len(x) for x in sets], pa.int64()), pa.array(_set_keys(sets).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, bits, more], names=["doc_id", "th", "n_shingles", "node", "bits", "more"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, key2 long, bits binary, more binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, node long, bits binary, more binary")
 
 
 def _far(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -452,11 +451,12 @@ def _rare_pairs(rare: DataFrame, roots: DataFrame, sketch: DataFrame) -> DataFra
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node) of every row, and (node, least) of every set: the smallest (doc_id, th, rows) of its group."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = written(shingle_counts(docs))
-    classes = counts.filter("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    own = counts.filter("n_shingles > 0 and doc_id is not null").groupBy("node", "doc_id", "th").agg(F.count(F.lit(1)).alias("rows"))
+    classes = own.groupBy("node").agg(F.min(F.struct("doc_id", "th", "rows")).alias("rep"))
     found = written(candidates(docs).groupBy("a", "b", (F.col("n") < 0).alias("wide")).agg(F.sum("n").alias("n"), F.min("need").alias("need")))
     wide = found.filter("wide").select("a", (-F.col("n")).alias("n_wide"), "need")
     # more than a third as many full blocks in narrow runs as it has shingles: a set has met all its partners there
@@ -470,7 +470,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = written(near(pairs, sketch))
     # from here on only texts with a candidate are read: of each node one document's, and that once
     some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(weak).distinct()
-    wanted = classes.join(some, "node", "left_semi").withColumnRenamed("rep", "doc_id")
+    wanted = classes.join(some, "node", "left_semi").select("node", F.col("rep.doc_id").alias("doc_id"))
     texts = docs.join(wanted, "doc_id").groupBy("doc_id", "node", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
     texts = written(texts.select("node", "text"))
     links = written(verified(texts, pairs))
@@ -482,17 +482,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not more.isEmpty():
             roots = components(links.union(more))
     dropped(found, sketch, pairs, texts, links, rare, rest)
-    # a component's id: the smallest doc_id of its sets
     members = roots.select(F.col("id").alias("node"), "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = members.join(classes, "node")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    of_node = classes.join(linked.join(least, "root").select("node", "least"), "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
+    of_node = classes.join(linked.join(least, "root").select("node", "least"), "node", "left").select("node", F.coalesce("least", "rep").alias("least"))
+    return counts.select("doc_id", "n_shingles", "node"), of_node
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
+    rows, of_node = _grouped(docs)
+    own = of_node.select(F.col("node").alias("_node"), F.col("least.doc_id").alias("component_id"))
     # exact copies share one node's row; many of them are a join's split side, not a group
-    return (
-        counts.select("doc_id", "n_shingles", "node")
-        .join(of_node.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    )
+    joined = rows.join(own, (F.col("node") == F.col("_node")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
+    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, rows): of each group of linked texts one, that of the smallest doc_id and then of the smallest hash th of the text; rows: how many rows are alike in both."""
+    return _grouped(docs)[1].select("least.*").distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import pytest
 from brute import components, shingles
 from test_operators import R, edited, frame, prose
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from quarry.llm import registry
 
@@ -52,6 +54,11 @@ def test_repeated_rows_stay_once(spark, sf_dir):
     docs = frame(spark, [prose(30), prose(40)])
     twice = docs.union(docs)
     assert sorted(r["doc_id"] for r in P.near_duplicates(spark, twice, sf_dir).collect()) == [0, 1]
+    # unlike texts of one doc_id, rows without a word or an id, and a column with an odd name
+    unlike = frame(spark, [prose(30), prose(40), "", None]).withColumns({"doc_id": F.lit(5).cast("long"), "near_id": F.lit("c")})
+    nameless = frame(spark, [prose(30)] * 2).withColumns({"doc_id": F.lit(None).cast("long"), "near_id": F.lit("c")})
+    out = P.near_duplicates(spark, unlike.union(unlike.limit(1)).union(nameless), sf_dir)
+    assert out.count() == 6 and out.columns == unlike.columns
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
