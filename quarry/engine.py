@@ -9,18 +9,21 @@ from quarry.config import Config
 from quarry.errors import INVALID_INPUT, TOO_LARGE, EngineError, require
 from quarry.functions import text as T
 from quarry.operators import chunking, embedding, markdown, pdf, prompt, rerank, search
+from quarry.sources.cache import EmbeddingCache
 from quarry.sources.shipping import ship
 from quarry.sources.store import ParquetChunkStore
 from quarry.streaming.tasks import TaskQueue
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, scorer=None):
+    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, scorer=None, pages=None):
         ship(spark)
         self.spark, self.path, self.config = spark, path, config or Config()
         self.store = ParquetChunkStore(spark, f"{path}/chunks", self.config.retriever.index_algorithm, self.config.retriever.dimension)
         self.queue = TaskQueue(spark, f"{path}/tasks")
         self.embed = embedding.embedder(self.config.providers, self.config.manager, self.config.retriever.embedding_batch_size)
+        self.cache = EmbeddingCache(spark, f"{path}/cache", self.config.cache)
+        self.pages = pages  # a PDF reader: bytes -> pages of rows of cells
         self.reranker = rerank.Reranker(self.config.rerank, scorer)
 
     def parse(self, docs: DataFrame, content: str = "content", format: str | None = None) -> DataFrame:
@@ -44,30 +47,49 @@ class Engine:
         return chunking.choose(docs, config or self.config.chunking, text, doc_id)
 
     def chunk_rows(self, docs: DataFrame) -> DataFrame:
-        """Index rows, with vectors, of docs (user_id, file_id, file_name, content): equal contents are embedded once."""
+        """Index rows, with vectors, of docs (user_id, file_id, file_name, content): equal contents are embedded once, over all calls if the cache is on."""
         keyed = docs.withColumn("_key", F.concat_ws("\x1f", F.col("user_id").cast("string"), "file_id"))
         cut = self.chunk(keyed, doc_id="_key").withColumnRenamed("doc_id", "_key")
         rows = cut.join(keyed.select("_key", "user_id", "file_id", "file_name"), "_key").drop("_key")
         rows = rows.withColumn("chunk_id", chunking.chunk_id("user_id", "file_id", "chunk_index", "content"))
+        if self.config.cache.enabled:
+            self.cache.fill(rows, self.embed, "content")
+            return rows.withColumn("hash", T.content_hash("content")).join(self.cache.read(), "hash")
         empty = self.spark.createDataFrame([], "hash string, vector array<float>")
         return embedding.embed_cached(rows, empty, self.embed, "content")[0]
 
-    def index(self, docs: DataFrame) -> DataFrame:
-        """Stores docs (user_id, file_id, file_name, content) in place of their files' chunks; a summary by file."""
+    def read_content(self, docs: DataFrame, format: str | None = None) -> DataFrame:
+        """docs (user_id, file_id, ..., content) with the text of their contents, by `format` or a column of that name; what can't be parsed stays as it is.
+
+        Without a format only PDFs are recognised, and read if the engine has a reader.
+        """
+        kind = F.lit(format or "") if format or "format" not in docs.columns else F.coalesce(F.lower("format"), F.lit(""))
+        out = docs.withColumn("content", F.when(kind == "html", T.html_text("content")).otherwise(F.col("content"))).drop("format")
+        if self.pages is None:
+            return out
+        key = F.concat_ws("\x1f", F.col("user_id").cast("string"), "file_id")
+        raw = docs.filter(pdf.is_pdf("content") & kind.isin("", "pdf")).select(key.alias("_key"), pdf.decoded("content").alias("content")).filter("content is not null")
+        texts = pdf.page_text(pdf.page_rows(raw, self.pages, "content", "_key")).select(F.col("doc_id").alias("_key"), F.col("content").alias("_text"))
+        return out.withColumn("_key", key).join(texts, "_key", "left").withColumn("content", F.coalesce("_text", "content")).drop("_key", "_text")
+
+    def index(self, docs: DataFrame, format: str | None = None) -> DataFrame:
+        """Stores docs (user_id, file_id, file_name, content; format if there is one) in place of their files' chunks; a summary by file of what was written."""
         too_large = docs.filter(~T.size_ok("content", self.config.max_content_bytes)).select("file_id").first()
         require(too_large is None, TOO_LARGE, f"{too_large and too_large[0]} is too large")
         bad = docs.filter("user_id is null or user_id <= 0 or coalesce(file_id, '') = '' or coalesce(content, '') = ''").select("file_id").first()
         require(bad is None, INVALID_INPUT, "user_id, file_id and content are required")
-        rows = self.chunk_rows(docs)
-        self.store.upsert(rows)
-        return rows.groupBy("user_id", "file_id").agg(F.max("file_name").alias("file_name"), F.count(F.lit(1)).alias("total_chunks"), F.count_if(F.col("vector").isNotNull()).alias("indexed"))
+        docs = self.read_content(docs, format)
+        self.store.ensure_all(docs)
+        version = self.store.upsert(self.chunk_rows(docs))
+        return self.store.log().filter(F.col("version") == version).groupBy("user_id", "file_id").agg(F.max("file_name").alias("file_name"), F.count(F.lit(1)).alias("total_chunks"), F.count_if(F.col("vector").isNotNull()).alias("indexed"))
 
     def index_async(self, user_id: int, file_id: str, content: str, file_name: str = "", format: str = "") -> str:
         self._check(user_id, content, file_id)
+        require(len(content.encode()) <= self.config.max_content_bytes, TOO_LARGE, f"{file_id} is too large")
         return self.queue.submit(user_id, file_id, content, file_name, format)
 
     def run_tasks(self):
-        return self.queue.run(lambda rows: self.index(rows.select("user_id", "file_id", "file_name", "content")).count())
+        return self.queue.run(lambda rows: self.index(rows.select("user_id", "file_id", "file_name", "content", "format")).count())
 
     def task_status(self, task_id: str):
         require(bool(task_id), INVALID_INPUT, "task_id is required")

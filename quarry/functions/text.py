@@ -111,8 +111,8 @@ def content_hash(c: Column | str) -> Column:
     return F.sha2(trimmed(c), 256)
 
 
-# The characters that a tag filter escapes, and those that a query escapes, in its order.
-TAG_SPECIALS = r""",.<>{}[]"':;!@#$%^&*()-+=~/\|? """
+# The thirty characters that a tag filter escapes, and those that a query escapes, in its order.
+TAG_SPECIALS = r""",.<>{}[]"':;!@#$%^&*()-+=~|/\ """
 QUERY_SPECIALS = ("@", "!", "{", "}", "(", ")", "[", "]", "\\", ":", ";", "~", "&", "*", "$", "^", "-", "+", "=", ">", "<", "|")
 
 

@@ -71,6 +71,10 @@ class Breaker:
         self.config, self.clock = config, clock
         self.state, self.fails, self.failed_at, self.trials = "closed", 0, 0.0, 0
 
+    def usable(self) -> bool:
+        """Whether a call could be admitted now; asking uses no trial."""
+        return self.state == "closed" or (self.state == "open" and self.clock() - self.failed_at > self.config.circuit_timeout) or (self.state == "half_open" and self.trials < self.config.circuit_half_open_max)
+
     def admits(self) -> bool:
         if self.state == "open" and self.clock() - self.failed_at > self.config.circuit_timeout:
             self.state, self.trials = "half_open", 0
@@ -103,13 +107,14 @@ class Manager:
 
     def pick(self, attempt: int) -> tuple[ProviderConfig, Callable]:
         strategy, n = self.config.strategy, len(self.all)
+        usable = [p for p in self.all if self.breakers[p[0].name].usable()] or self.all
         if strategy == "round_robin":
             self.turn += 1
             return self.all[(self.turn - 1) % n]
         if strategy == "random":
             return self.random.choice(self.all)
         if strategy == "weighted":
-            return self.random.choices(self.all, weights=[max(c.weight, 0) or 1 for c, _ in self.all])[0]
+            return self.random.choices(usable, weights=[max(c.weight, 0) or 1 for c, _ in usable])[0]
         return self.all[attempt % n]
 
     def embed(self, texts: list[str]) -> list[list[float]]:
@@ -138,7 +143,7 @@ class Manager:
 
 
 def embedder(configs: list[ProviderConfig] | None = None, manager: ManagerConfig | None = None, batch: int = 10) -> Callable[[Column | str], Column]:
-    """A column function text -> vector.  The built-in local provider alone runs in the JVM; others in Arrow batches."""
+    """A column function text -> vector.  All run in Arrow batches, the built-in local provider as one Pandas UDF over its keywords."""
     configs = configs or [ProviderConfig(name="local")]
     enabled = [c for c in configs if c.enabled]
     if len(enabled) == 1 and enabled[0].type == "local":

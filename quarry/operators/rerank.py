@@ -11,7 +11,7 @@ from quarry.config import RerankConfig
 from quarry.errors import RERANK_FAILED, require
 
 # How many documents a model takes at once.
-MODEL_LIMITS = {"qwen3-rerank": 500, "gte-rerank": 30_000, "gte-rerank-v2": 30_000, "qwen3-vl-rerank": 100}
+MODEL_LIMITS = {"qwen3-rerank": 500, "qwen3-vl-rerank": 100, "gte-rerank-v2": 30_000}
 DEFAULT_LIMIT = 500
 
 
@@ -33,9 +33,13 @@ def recall_k(config: RerankConfig, top_k: int) -> int:
     return max(top_k, config.recall_k if config.recall_k > 0 else 4 * top_k)
 
 
+def limit(model: str) -> int:
+    """How many documents a model takes at once; its name counts in any case."""
+    return MODEL_LIMITS.get(model.lower(), DEFAULT_LIMIT)
+
+
 def check_limit(model: str, n: int) -> None:
-    limit = MODEL_LIMITS.get(model, DEFAULT_LIMIT)
-    require(n <= limit, RERANK_FAILED, f"{model} takes at most {limit} documents, got {n}")
+    require(n <= limit(model), RERANK_FAILED, f"{model} takes at most {limit(model)} documents, got {n}")
 
 
 def apply_scores(rows: DataFrame, scores: DataFrame, n: int, key: str = "chunk_id") -> DataFrame:
@@ -52,7 +56,7 @@ class Reranker:
     def rerank(self, query: str, rows: DataFrame, asked: int = 0) -> DataFrame:
         if not self.config.enabled or self.score is None:
             return by_score(rows, asked)
-        few = rows.orderBy(F.desc("relevance_score"), "chunk_id").limit(MODEL_LIMITS.get(self.config.model, DEFAULT_LIMIT)).collect()  # bounded by the model
+        few = rows.orderBy(F.desc("relevance_score"), "chunk_id").limit(limit(self.config.model)).collect()  # bounded by the model
         try:
             scores = self.score(query, [r["content"] for r in few])
         except Exception:

@@ -63,13 +63,13 @@ def knn_filtered(spark, d):
 
 
 @query("""
-WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 5),
+WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
 p AS (SELECT query_id, e.vec_id AS chunk_id, 1 - list_cosine_similarity(e.embedding::DOUBLE[], v::DOUBLE[]) AS distance FROM embeddings e, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id)::INT AS rank FROM p)
 SELECT query_id, chunk_id, rank, round(distance, 6) + 0.0 AS distance FROM r WHERE rank <= 5
 """)
 def knn_join(spark, d):
-    queries = table(spark, d, "embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    queries = table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     rows = search.knn_join(_vectors(spark, d), queries, 5)
     return _rounded(rows.select("query_id", "chunk_id", "rank", "distance"), "distance")
 
@@ -110,10 +110,11 @@ def recall_then_rerank(spark, d):
     return rerank.by_score(rows, 5).select("chunk_id", F.round("relevance_score", 6).alias("relevance_score"))
 
 
-@query("SELECT vec_id AS chunk_id, (1000 - vec_id) / 1000.0 AS relevance_score FROM embeddings WHERE vec_id < 5")
+@query("SELECT vec_id AS chunk_id, (100000 - vec_id) / 100000.0 AS relevance_score FROM embeddings ORDER BY vec_id LIMIT 5")
 def rerank_by_model_scores(spark, d):
-    rows = _vectors(spark, d).filter("chunk_id < 20").select("chunk_id", F.col("chunk_id").alias("position"))
-    scores = spark.range(30).select(F.col("id").alias("position"), ((1000 - F.col("id")) / 1000.0).alias("score"))
+    rows = _vectors(spark, d).select("chunk_id", F.col("chunk_id").alias("position"))
+    given = rows.select("position").union(rows.select(-1 - F.col("position")))  # half of the positions are out of range
+    scores = given.select("position", ((100000 - F.abs("position")) / 100000.0).alias("score"))
     return rerank.apply_scores(rows, scores, 5).select("chunk_id", "relevance_score")
 
 
@@ -146,13 +147,13 @@ def bm25_search(spark, d):
 
 
 @query("""
-WITH a AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY label, vec_id) AS rank FROM embeddings WHERE vec_id < 40 QUALIFY rank <= 15),
-b AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY vec_id DESC) AS rank FROM embeddings WHERE vec_id < 40 QUALIFY rank <= 30),
+WITH a AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY label, vec_id) AS rank FROM embeddings QUALIFY rank <= 15),
+b AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY vec_id DESC) AS rank FROM embeddings QUALIFY rank <= 30),
 u AS (SELECT chunk_id, 0.7 / (60 + rank) AS s FROM a UNION ALL SELECT chunk_id, 0.3 / (60 + rank) FROM b)
 SELECT chunk_id, round(sum(s), 9) AS score FROM u GROUP BY chunk_id ORDER BY sum(s) DESC, chunk_id LIMIT 10
 """)
 def rrf_merge(spark, d):
-    rows = _vectors(spark, d).filter("chunk_id < 40")
+    rows = _vectors(spark, d)
     a = search.ranked(rows.orderBy("label", "chunk_id").limit(15), F.col("label"), F.col("chunk_id"))
     b = search.ranked(rows.orderBy(F.desc("chunk_id")).limit(30), F.desc("chunk_id"))
     return search.rrf(a, b, 10).select("chunk_id", F.round("score", 9).alias("score"))
@@ -254,9 +255,12 @@ def dedup_docs(spark, d):
     return table(spark, d, "documents").groupBy(T.content_hash("text").alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
-@query("SELECT n_nationkey, regexp_replace(n_name || ' (x:1)', '([,.<>{}\\[\\]\"'':;!@#$%^&*()\\-+=~|/\\\\ ])', '\\\\\\1', 'g') AS escaped FROM nation")
+PRINTABLE = "".join(map(chr, range(32, 127)))
+
+
+@query("SELECT n_nationkey, regexp_replace(n_name || '" + PRINTABLE.replace("'", "''") + "', '([,.<>{}\\[\\]\"'':;!@#$%^&*()\\-+=~|/\\\\ ])', '\\\\\\1', 'g') AS escaped FROM nation")
 def tag_escape(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", T.escape_tag(F.concat("n_name", F.lit(" (x:1)"))).alias("escaped"))
+    return table(spark, d, "nation").select("n_nationkey", T.escape_tag(F.concat("n_name", F.lit(PRINTABLE))).alias("escaped"))
 
 
 def _escape_sql() -> str:
@@ -490,32 +494,32 @@ def pdf_sections(spark, d):
 
 # ---- prompt, store, JSON
 
-RESULTS_SQL = "res AS (SELECT doc_id AS rank, 'd' || doc_id AS chunk_id, source AS file_id, CASE WHEN source = 'src1' THEN '' ELSE source || '.txt' END AS file_name, (doc_id % 5)::INT AS chunk_index, substring(text, 1, 40) AS content, (1000 - doc_id * 7) / 1000.0 AS relevance_score FROM documents WHERE doc_id < 20)"
+RESULTS_SQL = "res AS (SELECT doc_id AS rank, 'd' || doc_id AS chunk_id, source AS file_id, CASE WHEN source = 'src1' THEN '' ELSE source || '.txt' END AS file_name, (doc_id % 5)::INT AS chunk_index, text AS content, (1000 - doc_id * 7) / 1000.0 AS relevance_score FROM documents)"
 
 
 def _results(spark, d) -> DataFrame:
     k = F.col("doc_id")
-    return table(spark, d, "documents").filter("doc_id < 20").select(
+    return table(spark, d, "documents").select(
         k.alias("rank"), F.concat(F.lit("d"), k.cast("string")).alias("chunk_id"), F.col("source").alias("file_id"), F.when(F.col("source") == "src1", "").otherwise(F.concat("source", F.lit(".txt"))).alias("file_name"),
-        (k % 5).cast("int").alias("chunk_index"), F.substring("text", 1, 40).alias("content"), ((1000 - k * 7) / 1000.0).alias("relevance_score"),
+        (k % 5).cast("int").alias("chunk_index"), F.col("text").alias("content"), ((1000 - k * 7) / 1000.0).alias("relevance_score"),
     )
 
 
 @query(f"""
-WITH {RESULTS_SQL}, o AS (SELECT *, min(rank) OVER (PARTITION BY file_id) AS f FROM res), p AS (SELECT *, dense_rank() OVER (ORDER BY f) AS no, first(file_name) OVER (PARTITION BY file_id ORDER BY rank) AS name FROM o),
+WITH {RESULTS_SQL}, top AS (SELECT * FROM res ORDER BY rank LIMIT 20), o AS (SELECT *, min(rank) OVER (PARTITION BY file_id) AS f FROM top), p AS (SELECT *, dense_rank() OVER (ORDER BY f) AS no, first(file_name) OVER (PARTITION BY file_id ORDER BY rank) AS name FROM o),
 g AS (SELECT no, '=== 文件 ' || no || ': ' || CASE WHEN min(name) <> '' THEN min(name) ELSE min(file_id) END || ' ===' || chr(10)
   || string_agg('[片段 ' || (chunk_index + 1) || '] (相关度: ' || (round(relevance_score * 1000)::BIGINT // 10) || '.' || (round(relevance_score * 1000)::BIGINT % 10) || '%)' || chr(10) || content || chr(10) || chr(10), '' ORDER BY rank) || chr(10) AS t FROM p GROUP BY no)
 SELECT '{prompt.HEADER}' || string_agg(t, '' ORDER BY no) || '用户问题：what is it?' || chr(10) || chr(10) || '请提供准确、完整的回答：' AS prompt FROM g
 """.replace("\n\n'", "' || chr(10) || chr(10)", 1))
 def build_prompt(spark, d):
-    return prompt.build(_results(spark, d), "what is it?")
+    return prompt.build(_results(spark, d).orderBy("rank").limit(20), "what is it?")
 
 
-@query(f"WITH {RESULTS_SQL} SELECT chunk_id, file_id, chunk_index FROM res")
+@query(f"WITH {RESULTS_SQL} SELECT chunk_id, file_id, chunk_index, content FROM res")
 def json_round_trip(spark, d):
     rows = _results(spark, d)
-    listed = sources.result_list(rows.select("rank", "chunk_id", "file_id", "file_name", "chunk_index", "content", "relevance_score"), F.col("rank"))
-    return sources.from_json(listed).select("chunk_id", "file_id", "chunk_index")
+    listed = sources.as_json(rows.drop("rank")).select(F.concat(F.lit("["), "json", F.lit("]")).alias("json"))
+    return sources.from_json(listed).select("chunk_id", "file_id", "chunk_index", "content")
 
 
 @query("""
@@ -591,12 +595,12 @@ def breaker_open(spark, d):
 
 
 @query("""
-WITH w AS (SELECT s_suppkey AS name, (s_suppkey % 5 + 1) AS weight FROM supplier WHERE s_suppkey <= 10), r AS (SELECT name, sum(weight) OVER (ORDER BY name) - weight AS lo, sum(weight) OVER (ORDER BY name) AS hi FROM w)
-SELECT event_id AS request, name FROM events JOIN r ON event_id % 30 >= lo AND event_id % 30 < hi
+WITH w AS (SELECT n_nationkey AS name, (n_nationkey % 5 + 1) AS weight FROM nation), r AS (SELECT name, sum(weight) OVER (ORDER BY name) - weight AS lo, sum(weight) OVER (ORDER BY name) AS hi FROM w)
+SELECT event_id AS request, name FROM events JOIN r ON event_id % 75 >= lo AND event_id % 75 < hi
 """)
 def weighted_pick(spark, d):
-    own = table(spark, d, "supplier").filter("s_suppkey <= 10").select(F.col("s_suppkey").alias("name"), (F.col("s_suppkey") % 5 + 1).alias("weight"))
-    requests = table(spark, d, "events").select(F.col("event_id").alias("request"), (F.col("event_id") % 30).alias("draw"))
+    own = table(spark, d, "nation").select(F.col("n_nationkey").alias("name"), (F.col("n_nationkey") % 5 + 1).alias("weight"))
+    requests = table(spark, d, "events").select(F.col("event_id").alias("request"), (F.col("event_id") % 75).alias("draw"))
     return providers.weighted_pick(requests, own).select("request", "name")
 
 
@@ -622,12 +626,12 @@ def task_status(spark, d):
 
 
 @query(f"""
-SELECT event_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id < 300) AND ts < {NOW} - INTERVAL 5 MINUTE
+SELECT event_id FROM events WHERE event_type = 'click' AND event_id NOT IN (SELECT event_id FROM events WHERE value < 50) AND ts < {NOW} - INTERVAL 5 MINUTE
 """)
 def stale_claims(spark, d):
     e = table(spark, d, "events")
-    claims, acks = e.filter("event_type = 'click'"), e.filter("event_type = 'purchase' AND event_id < 300")
-    return tasks.stale_claims(claims, acks, _now(), 300, "user_id", "ts").select("event_id")
+    claims, acks = e.filter("event_type = 'click'"), e.filter("value < 50")
+    return tasks.stale_claims(claims, acks, _now(), 300, "event_id", "ts").select("event_id")
 
 
 @query(f"SELECT user_id, max(ts) AS updated_at FROM events GROUP BY user_id HAVING max(ts) > {NOW} - INTERVAL 24 HOUR")
@@ -657,7 +661,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.persist()  # an index: both legs and the lookup read it
     ask = table(spark, d, "benchmark").orderBy("item_id").first()["text"]
     vector = list(spark.range(1).select(V.hashed_embedding(F.lit(ask), 64)).first()[0])
-    found = search.hybrid(rows, " ".join(search.query_terms(ask)[:1]), vector, 5)
+    found = search.hybrid(rows, ask, vector, 5)
     return found.select("chunk_id", "file_id", "chunk_index", "content", F.round("score", 9).alias("score"))
 
 

@@ -37,7 +37,7 @@ def delete_files(rows: DataFrame, files: DataFrame, key: str = "file_id") -> Dat
 
 class ChunkStore(ABC):
     @abstractmethod
-    def upsert(self, chunks: DataFrame) -> None: ...
+    def upsert(self, chunks: DataFrame) -> int: ...
 
     @abstractmethod
     def delete(self, user_id: int, file_id: str) -> int: ...
@@ -64,29 +64,37 @@ class ParquetChunkStore(ChunkStore):
 
     def ensure(self, user_id: int) -> None:
         """Writes the user's index description once."""
-        name = "rag_user_%d:idx" % user_id
+        self.ensure_all(self.spark.createDataFrame([(user_id,)], "user_id long"))
+
+    def ensure_all(self, rows: DataFrame) -> None:
+        """Writes the index descriptions that the users among rows (user_id) lack, in one job."""
+        names = rows.select(index_name("user_id").alias("index")).distinct()
         meta = self._meta()
-        if meta is None or meta.filter(F.col("index") == name).isEmpty():
-            self._describe(name, SCHEMA_VERSION, "log")
+        if meta is not None:
+            names = names.join(meta.select("index"), "index", "left_anti")
+        if not names.isEmpty():
+            self._describe(names, SCHEMA_VERSION, self.location().rsplit("/", 1)[1])
 
-    def _describe(self, name: str, version: int, location: str) -> None:
-        row = self.spark.createDataFrame([(name, version, self.algorithm, self.dimension, location)], "index string, version int, algorithm string, dimension int, location string")
-        row.withColumn("created_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.path}/_meta_schema")
+    def _describe(self, names: DataFrame, version: int, location: str) -> None:
+        columns = {"version": F.lit(version), "algorithm": F.lit(self.algorithm), "dimension": F.lit(self.dimension), "location": F.lit(location), "created_at": F.current_timestamp()}
+        names.withColumns(columns).coalesce(1).write.mode("append").parquet(f"{self.path}/_meta_schema")
 
     def described(self) -> DataFrame | None:
         meta = self._meta()
         return None if meta is None else latest(meta, ["index"], "created_at")
 
     def location(self) -> str:
+        """Where the log is: the newest row of the store itself says so, no index's description does."""
         meta = self._meta()
-        row = None if meta is None else meta.orderBy(F.desc("created_at")).select("location").first()
+        row = None if meta is None else meta.filter("index = '*'").orderBy(F.desc("created_at")).select("location").first()
         return f"{self.path}/{row[0] if row else 'log'}"
 
-    def upsert(self, chunks: DataFrame, version: int | None = None) -> None:
-        """chunks (user_id, file_id, file_name, chunk_id, chunk_index, content, vector) replace their files' chunks."""
+    def upsert(self, chunks: DataFrame, version: int | None = None) -> int:
+        """chunks (user_id, file_id, file_name, chunk_id, chunk_index, content, vector) replace their files' chunks; the version written."""
         v = time.time_ns() if version is None else version
         rows = chunks.withColumns({"version": F.lit(v).cast("long"), "deleted": F.lit(False), "user_id": F.col("user_id").cast("long")})
         rows.select(*[c.split()[0] for c in COLUMNS.split(", ")]).write.mode("append").partitionBy("user_id").parquet(self.location())
+        return v
 
     def log(self) -> DataFrame:
         found = self._table(self.location(), COLUMNS)
@@ -109,7 +117,7 @@ class ParquetChunkStore(ChunkStore):
         name = f"log_{time.time_ns()}"
         rows = self.read().withColumns({"version": F.lit(0).cast("long"), "deleted": F.lit(False)})
         rows.select(*[c.split()[0] for c in COLUMNS.split(", ")]).write.partitionBy("user_id").parquet(f"{self.path}/{name}")
-        self._describe("*", SCHEMA_VERSION, name)
+        self._describe(self.spark.createDataFrame([("*",)], "index string"), SCHEMA_VERSION, name)
 
 
 def needs_migration(version: Column, algorithm: Column, dimension: Column, to_version: int, to_algorithm: str, to_dimension: int) -> Column:
@@ -129,14 +137,12 @@ def migrate(store: ParquetChunkStore, algorithm: str, dimension: int, version: i
     if meta is None:
         return 0
     old = meta.filter(~F.contains("index", F.lit("_v")) & (F.col("index") != "*")).filter(needs_migration(F.col("version"), F.col("algorithm"), F.col("dimension"), version, algorithm, dimension))
-    names = [r[0] for r in old.select("index").collect()]  # index descriptions, one for each user
-    if names:
+    n = old.count()
+    if n:
         store.algorithm, store.dimension = algorithm, dimension
         store.compact()
-        current = store.location().rsplit("/", 1)[1]
-        for name in names:
-            store._describe(name, version, current)
-    return len(names)
+        store._describe(old.select("index"), version, store.location().rsplit("/", 1)[1])
+    return n
 
 
 __all__ = ["ChunkStore", "ParquetChunkStore", "delete_files", "index_name", "latest", "migrate", "needs_migration", "rewritten_key", "upsert"]

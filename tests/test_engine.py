@@ -191,3 +191,49 @@ def test_failed_tasks_are_marked(spark, tmp_path):
 
     q.run(index)
     assert (q.status(bad)["status"], q.status(good)["status"]) == ("failed", "completed")
+
+
+def test_store_keeps_its_log_when_a_user_is_added(spark, tmp_path):
+    s = store.ParquetChunkStore(spark, str(tmp_path / "log"), "FLAT", 2)
+    row = "user_id long, file_id string, file_name string, chunk_id string, chunk_index int, content string, vector array<float>"
+    s.ensure(1)
+    s.upsert(spark.createDataFrame([(1, "a", "a", "c1", 0, "x", [1.0, 0.0])], row))
+    s.compact()
+    s.upsert(spark.createDataFrame([(1, "b", "b", "c2", 0, "y", [1.0, 0.0])], row))
+    s.ensure(2)
+    assert s.read().count() == 2 and s.described().count() == 3
+
+
+def test_index_parses_embeds_once_and_describes(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+    e = Engine(spark, str(tmp_path / "e"), pages=lambda raw: [[[raw.decode().split("|")[1]]]])
+
+    def counted(c, embed=e.embed):
+        seen = F.udf(lambda t: (calls.add(1), t)[1])
+        return embed(seen(c))
+
+    e.embed = counted
+    import base64
+
+    pdf_text = "base64:" + base64.b64encode(b"%PDF-1.4|cats purr").decode()
+    docs = spark.createDataFrame([(1, "h", "h.html", "<p>cats &amp; dogs</p>", "html"), (1, "t", "t.txt", "<p>raw</p>", ""), (2, "p", "p.pdf", pdf_text, None)], "user_id long, file_id string, file_name string, content string, format string")
+    assert e.index(docs).count() == 3
+    first = calls.value
+    kept = {r["file_id"]: r["content"] for r in e.store.read().collect()}
+    assert kept["h"] == "cats & dogs" and kept["t"] == "<p>raw</p>" and "cats purr" in kept["p"]
+    assert {r["index"] for r in e.store.described().collect()} == {"rag_user_1:idx", "rag_user_2:idx"}
+    e.index(docs).collect()
+    assert first == 3 and calls.value == 3 and e.store.read().count() == 3
+
+
+def test_rerank_limit_ignores_case():
+    assert rerank.limit("GTE-Rerank-V2") == 30_000 and rerank.limit("gte-rerank") == 500
+
+
+def test_weighted_pick_leaves_out_open_breakers():
+    from quarry.config import ManagerConfig, ProviderConfig
+
+    m = embedding.Manager([ProviderConfig(name="a", weight=99), ProviderConfig(name="b")], ManagerConfig(strategy="weighted"))
+    for _ in range(5):
+        m.breakers["a"].record(False)
+    assert {m.pick(0)[0].name for _ in range(20)} == {"b"}
