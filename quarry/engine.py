@@ -20,7 +20,7 @@ class Engine:
         ship(spark)
         self.spark, self.path, self.config = spark, path, config or Config()
         self.store = ParquetChunkStore(spark, f"{path}/chunks", self.config.retriever.index_algorithm, self.config.retriever.dimension)
-        self.queue = TaskQueue(spark, f"{path}/tasks")
+        self.queue = TaskQueue(spark, f"{path}/tasks", self.config.tasks)
         self.embed = embedding.embedder(self.config.providers, self.config.manager, self.config.retriever.embedding_batch_size)
         self.cache = EmbeddingCache(spark, f"{path}/cache", self.config.cache)
         self.pages = pages  # a PDF reader: bytes -> pages of rows of cells

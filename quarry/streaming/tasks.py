@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.config import TaskConfig
+
 MESSAGE = "task_id string, user_id long, file_id string, file_name string, content string, format string, created_at timestamp"
 EVENT = "task_id string, status string, error string, at timestamp"
 
@@ -29,8 +31,8 @@ def unexpired(rows: DataFrame, now: Column, ttl_seconds: int = 24 * 3600, at: st
 
 
 class TaskQueue:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, config: TaskConfig | None = None):
+        self.spark, self.path, self.config = spark, path, config or TaskConfig()
 
     def _event(self, task_id: str, status: str, error: str | None = None) -> None:
         row = self.spark.createDataFrame([(task_id, status, error, datetime.now(timezone.utc))], EVENT)
@@ -49,12 +51,12 @@ class TaskQueue:
         return task_id
 
     def status(self, task_id: str):
-        """The task's row (task_id, status, updated_at), or None."""
-        try:
-            events = self.spark.read.schema(EVENT).parquet(f"{self.path}/events")
-        except Exception:
+        """The task's row (task_id, status, updated_at), or None if there is no such task or its time to live is over."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/events")
+        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
             return None
-        return current_status(events.filter(F.col("task_id") == task_id)).first()
+        events = self.spark.read.schema(EVENT).parquet(f"{self.path}/events").filter(F.col("task_id") == task_id)
+        return unexpired(current_status(events), F.current_timestamp(), self.config.task_ttl_seconds).first()
 
     def run(self, index: Callable[[DataFrame], None], checkpoint: str | None = None):
         """Indexes all waiting messages; the query.  A batch whose indexing fails is tried message by message, and failures are acknowledged."""

@@ -193,6 +193,15 @@ def test_failed_tasks_are_marked(spark, tmp_path):
     assert (q.status(bad)["status"], q.status(good)["status"]) == ("failed", "completed")
 
 
+def test_task_status_expires(spark, tmp_path):
+    path = str(tmp_path / "q")
+    q = tasks.TaskQueue(spark, path)
+    assert q.status("none") is None
+    known = q.submit(1, "f", "x")
+    assert q.status(known)["status"] == "pending" and q.status("none") is None
+    assert tasks.TaskQueue(spark, path, config.TaskConfig(task_ttl_seconds=0)).status(known) is None
+
+
 def test_store_keeps_its_log_when_a_user_is_added(spark, tmp_path):
     s = store.ParquetChunkStore(spark, str(tmp_path / "log"), "FLAT", 2)
     row = "user_id long, file_id string, file_name string, chunk_id string, chunk_index int, content string, vector array<float>"
