@@ -112,7 +112,8 @@ class Engine:
         rows, where = self.store.read(user_id), search.in_files(file_ids)
         v = self._vector(query)
         if c.hybrid_search_enabled:
-            hits = search.hybrid(rows, query, v, want, (c.vector_weight, c.keyword_weight), where, min_score=least).withColumn("relevance_score", F.col("score"))
+            leg = self.store.terms.search(user_id, query, 9 * want, where)
+            hits = search.hybrid(rows, query, v, want, (c.vector_weight, c.keyword_weight), where, min_score=least, text_leg=leg).withColumn("relevance_score", F.col("score"))
         else:
             hits = search.scored(search.knn(rows, v, want, where=where), least, "content")
         hits = self.reranker.rerank(query, hits, k) if reranked else hits.orderBy(F.desc("relevance_score"), "chunk_id")

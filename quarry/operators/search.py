@@ -64,13 +64,25 @@ def bm25(rows: DataFrame, query: str, k: int, content: str = "content", key: str
     terms = query_terms(query)
     if not terms:
         return rows.withColumn("score", F.lit(0.0)).limit(0)
-    found = rows if where is None else rows.filter(where)
-    tokens = found.withColumn("_t", keywords(F.coalesce(F.col(content), F.lit(""))))
-    counted = tokens.withColumns({"_n": F.size("_t"), **{f"_f{i}": _occurrences(w) for i, w in enumerate(terms)}}).drop("_t")
-    totals = counted.agg(
-        F.count(F.lit(1)).alias("_docs"), F.avg("_n").alias("_mean"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(terms))]
-    )
-    hit = [F.col(f"_f{i}") > 0 for i in range(len(terms))]
+    counted = term_counts(rows if where is None else rows.filter(where), terms, content)
+    totals = counted.agg(F.count(F.lit(1)).alias("_docs"), F.avg("_n").alias("_mean"), *document_counts(len(terms)))
+    return best(counted, totals, len(terms), k, key, match_all)
+
+
+def term_counts(rows: DataFrame, terms: list[str], content: str = "content") -> DataFrame:
+    """rows with their number of terms _n, and _f0, _f1, ... of each of `terms`."""
+    tokens = rows.withColumn("_t", keywords(F.coalesce(F.col(content), F.lit(""))))
+    return tokens.withColumns({"_n": F.size("_t"), **{f"_f{i}": _occurrences(w) for i, w in enumerate(terms)}}).drop("_t")
+
+
+def document_counts(n: int) -> list[Column]:
+    """Aggregates _d0, _d1, ...: the rows that hold each of n terms."""
+    return [F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(n)]
+
+
+def best(counted: DataFrame, totals: DataFrame, n: int, k: int, key: str = "chunk_id", match_all: bool = True) -> DataFrame:
+    """The k best of counted rows (_n, _f0, ...) by the totals, one row (_docs, _mean, _d0, ...)."""
+    hit = [F.col(f"_f{i}") > 0 for i in range(n)]
     wanted = counted.filter(reduce(lambda a, b: (a & b) if match_all else (a | b), hit)).crossJoin(F.broadcast(totals))  # totals: one row
 
     def part(i: int) -> Column:
@@ -78,7 +90,7 @@ def bm25(rows: DataFrame, query: str, k: int, content: str = "content", key: str
         idf = F.ln(F.lit(1.0) + (F.col("_docs") - d + 0.5) / (d + 0.5))
         return idf * f * (BM25_K1 + 1) / (f + BM25_K1 * (1 - BM25_B + BM25_B * F.col("_n") / F.col("_mean")))
 
-    score = reduce(lambda a, b: a + b, [part(i) for i in range(len(terms))])
+    score = reduce(lambda a, b: a + b, [part(i) for i in range(n)])
     mine = [c for c in wanted.columns if c.startswith("_")]
     return wanted.withColumn("score", score).drop(*mine).orderBy(F.desc("score"), key).limit(k)
 
@@ -96,15 +108,17 @@ def rrf(vector_leg: DataFrame, text_leg: DataFrame, k: int, weights: tuple[float
     return a.union(b).groupBy(key).agg(F.sum("s").alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def hybrid(rows: DataFrame, query: str, query_vector: list[float] | Column, k: int, weights: tuple[float, float] = (0.7, 0.3), where: Column | None = None, vector: str = "vector", content: str = "content", key: str = "chunk_id", min_score: float = 0.0) -> DataFrame:
+def hybrid(rows: DataFrame, query: str, query_vector: list[float] | Column, k: int, weights: tuple[float, float] = (0.7, 0.3), where: Column | None = None, vector: str = "vector", content: str = "content", key: str = "chunk_id", min_score: float = 0.0, text_leg: DataFrame | None = None) -> DataFrame:
     """rows found by vector (3 k) and by keyword (9 k), fused to 3 k and cut to k, with `score`, and distance where the vector leg has it.
 
-    min_score applies to the vector leg's relevance.  A query without a term is a vector search.
+    min_score applies to the vector leg's relevance.  A query without a term is a vector search.  text_leg: the keyword leg
+    (key, score), if an index has it; else the contents of rows are counted.
     """
     near = scored(knn(rows, query_vector, 3 * k, vector, key, where), min_score)
     if not query_terms(query):
         return ranked(near, F.col("distance"), F.col(key)).withColumn("score", F.col("relevance_score")).orderBy("rank").limit(k).drop("rank")
-    legs = (ranked(near.select(key, "distance"), F.col("distance"), F.col(key)), ranked(bm25(rows, query, 9 * k, content, key, True, where).select(key, "score"), F.desc("score"), F.col(key)))
+    text = bm25(rows, query, 9 * k, content, key, True, where) if text_leg is None else text_leg
+    legs = (ranked(near.select(key, "distance"), F.col("distance"), F.col(key)), ranked(text.select(key, "score"), F.desc("score"), F.col(key)))
     fused = rrf(*legs, 3 * k, weights, key).orderBy(F.desc("score"), key).limit(k)
     # at most k rows: the rest of each is looked up
     return rows.join(F.broadcast(fused), key).join(F.broadcast(legs[0].select(key, "distance")), key, "left").orderBy(F.desc("score"), key)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import index_name
+from quarry.sources.terms import TermIndex
 
 COLUMNS = "file_id string, file_name string, chunk_id string, chunk_index int, content string, vector array<float>, version long, deleted boolean, user_id long"
 SCHEMA_VERSION = 2
@@ -50,6 +51,7 @@ class ParquetChunkStore(ChunkStore):
     def __init__(self, spark: SparkSession, path: str, algorithm: str = "FLAT", dimension: int = 0):
         self.spark, self.path = spark, path
         self.algorithm, self.dimension = algorithm, dimension
+        self.terms = TermIndex(self)
 
     # what the store looks like, in a small table beside the log
     def _meta(self) -> DataFrame | None:
@@ -93,7 +95,9 @@ class ParquetChunkStore(ChunkStore):
         """chunks (user_id, file_id, file_name, chunk_id, chunk_index, content, vector) replace their files' chunks; the version written."""
         v = time.time_ns() if version is None else version
         rows = chunks.withColumns({"version": F.lit(v).cast("long"), "deleted": F.lit(False), "user_id": F.col("user_id").cast("long")})
-        rows.select(*[c.split()[0] for c in COLUMNS.split(", ")]).write.mode("append").partitionBy("user_id").parquet(self.location())
+        location = self.location()
+        rows.select(*[c.split()[0] for c in COLUMNS.split(", ")]).write.mode("append").partitionBy("user_id").parquet(location)
+        self.terms.write(self.spark.read.schema(COLUMNS).parquet(location).filter((F.col("version") == v) & ~F.col("deleted")), location)
         return v
 
     def log(self) -> DataFrame:
@@ -115,8 +119,9 @@ class ParquetChunkStore(ChunkStore):
     def compact(self) -> None:
         """The live rows as a new log; readers turn to it when it is whole."""
         name = f"log_{time.time_ns()}"
-        rows = self.read().withColumns({"version": F.lit(0).cast("long"), "deleted": F.lit(False)})
+        rows = latest(self.log(), ["user_id", "file_id"]).filter(~F.col("deleted")).dropDuplicates(["user_id", "chunk_id"])
         rows.select(*[c.split()[0] for c in COLUMNS.split(", ")]).write.partitionBy("user_id").parquet(f"{self.path}/{name}")
+        self.terms.write(self.spark.read.schema(COLUMNS).parquet(f"{self.path}/{name}"), f"{self.path}/{name}")
         self._describe(self.spark.createDataFrame([("*",)], "index string"), SCHEMA_VERSION, name)
 
 

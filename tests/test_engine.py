@@ -246,3 +246,26 @@ def test_weighted_pick_leaves_out_open_breakers():
     for _ in range(5):
         m.breakers["a"].record(False)
     assert {m.pick(0)[0].name for _ in range(20)} == {"b"}
+
+
+def test_term_index_gives_what_a_scan_gives(spark, tmp_path):
+    import shutil
+
+    s = store.ParquetChunkStore(spark, str(tmp_path / "t"), "FLAT", 2)
+    kind = "user_id long, file_id string, file_name string, chunk_id string, chunk_index int, content string, vector array<float>"
+    rows = [(1, "a", "a", "a0", 0, "Red fish red", [1.0]), (1, "a", "a", "a1", 1, "blue fish", [1.0]), (1, "b", "b", "b0", 0, "red dog", [1.0]), (1, "n", "n", "n0", 0, None, [1.0]), (2, "a", "a", "c0", 0, "red red", [1.0])]
+
+    def same():
+        for query, where, every in (("fish dog", None, False), ("red", F.col("file_id").isin("a"), True)):
+            want, got = search.bm25(s.read(1), query, 5, match_all=every, where=where), s.terms.search(1, query, 5, where, every)
+            assert [tuple(r) for r in got.collect()] == [(r["chunk_id"], r["score"]) for r in want.collect()], query
+
+    s.upsert(spark.createDataFrame(rows, kind), 1)
+    s.upsert(spark.createDataFrame([(1, "b", "b", "b1", 0, "red fish again", [1.0])], kind), 2)
+    s.upsert(spark.createDataFrame([(1, "b", "b", "b1", 0, "red fish again", [1.0])], kind), 2)
+    s.delete(1, "n")
+    same()
+    s.compact()
+    shutil.rmtree(s.location() + "_files")  # as a store without an index
+    same()
+    assert s.terms.search(1, "!!", 5).count() == 0
