@@ -642,14 +642,11 @@ def task_ttl(spark, d):
 
 @query()
 def stream_breaker(spark, d):
-    """The calls as a stream, through stateful breakers, into a table in memory."""
-    schema = table(spark, d, "events").schema
-    calls = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select(
+    """The calls as a stream, through stateful breakers, into a Parquet table in the shared folder."""
+    calls = sources.stream(spark, f"{d}/events.parquet", table(spark, d, "events").schema).select(
         F.col("user_id").cast("string").alias("provider"), F.col("event_id").alias("seq"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"), (F.col("event_type") != "error").alias("ok")
     )
-    name = f"breaker_{abs(hash(d)) % 10**8}"
-    tasks.breaker_stream(calls).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return tasks.written(tasks.breaker_stream(calls))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

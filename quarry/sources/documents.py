@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.errors import TOO_LARGE, require
 
@@ -21,6 +22,16 @@ def binary_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFra
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
 
+def stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A Parquet table, one file or a folder of files, as a stream."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    rows = spark.readStream.schema(schema)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return rows.parquet(path)
+    # a stream reads folders only
+    return rows.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
+
+
 def inline(spark: SparkSession, content: str, file_id: str, file_name: str = "", most: int = 10 << 20) -> DataFrame:
     """One document given as an argument."""
     require(len(content.encode()) <= most, TOO_LARGE, f"content exceeds {most} bytes")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.config import TaskConfig
+from quarry.sources.shared import shared_path
 
 MESSAGE = "task_id string, user_id long, file_id string, file_name string, content string, format string, created_at timestamp"
 EVENT = "task_id string, status string, error string, at timestamp"
@@ -111,3 +112,10 @@ def breaker_stream(calls: DataFrame, threshold: int = 5, timeout: float = 60.0,
         yield pd.DataFrame(out, columns=["provider", "seq", "ok", "admitted", "state"])
 
     return calls.groupBy("provider").applyInPandasWithState(step, BREAKER_OUT, BREAKER_STATE, "append", "NoTimeout")
+
+
+def written(stream: DataFrame) -> DataFrame:
+    """What a stream gives for all that waits now, as a Parquet table in the shared folder: executors write it, the driver holds no row."""
+    path = shared_path(stream.sparkSession, "stream")
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
