@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import keywords
 from quarry.functions.vectors import cosine_distance, relevance
+from quarry.operators import nearest
 
 RRF_K = 60
 BM25_K1, BM25_B = 1.2, 0.75
@@ -26,9 +27,17 @@ def knn(rows: DataFrame, query: list[float] | Column, k: int, vector: str = "vec
 
 
 def knn_join(rows: DataFrame, queries: DataFrame, k: int, vector: str = "vector", key: str = "chunk_id", query_vector: str = "query_vector", query_id: str = "query_id") -> DataFrame:
-    """The k rows nearest to every query of a stated, small query set: each task ranks its rows for each query first."""
-    pairs = rows.crossJoin(F.broadcast(queries)).withColumn("distance", cosine_distance(vector, query_vector))
-    w = Window.partitionBy(query_id).orderBy("distance", key)
+    """The k rows nearest to every query of a stated, small query set, as rows' columns but for the vector, query_id, distance and rank.
+
+    A vector of length zero has the distance NaN, after all others; where there is none, there is no distance, and it is last.
+    """
+    near = nearest.nearest(rows, queries.select(query_id, query_vector).toArrow(), k, vector, key, query_vector, query_id, odd=True)
+    return first_of(near, k, key, query_id)
+
+
+def first_of(pairs: DataFrame, k: int, key: str, query_id: str) -> DataFrame:
+    """The first k pairs of every query by distance and key, with `rank`."""
+    w = Window.partitionBy(query_id).orderBy(F.asc_nulls_last("distance"), key)
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
