@@ -143,7 +143,7 @@ class IvfIndex:
     def __init__(self, rows: DataFrame, cells: int = 16, vector: str = "vector", sample: int = 10_000, seed: int = 3, key: str = "chunk_id"):
         import numpy as np
 
-        few = rows.select(vector, key).orderBy(F.xxhash64(F.col(key)), key).limit(sample).select(vector).collect()
+        few = rows.select(vector, key).filter(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.col(key)), key).limit(sample).select(vector).collect()
         x = np.array([r[0] for r in few], float)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         r = np.random.default_rng(seed)
@@ -156,9 +156,7 @@ class IvfIndex:
         self.rows = rows.withColumn("cell", self.cell(F.col(vector)))
 
     def cell(self, v: Column) -> Column:
-        centres = F.array(*[vector_literal(c.tolist()) for c in self.centres])
-        near = F.transform(centres, lambda c, i: F.struct(F.coalesce(cosine_distance(v, c), F.lit(2.0)).alias("d"), i.alias("i")))
-        return F.array_min(near)["i"]
+        return nearest.placed(v, self.centres)["cell"]
 
     def search(self, query: list[float], k: int, probes: int = 4) -> DataFrame:
         import numpy as np
@@ -168,27 +166,31 @@ class IvfIndex:
         return knn(self.rows, query, k, self.vector, self.key, F.col("cell").isin(near))
 
     def search_join(self, queries: DataFrame, k: int, probes: int = 4, query_vector: str = "query_vector", query_id: str = "query_id") -> DataFrame:
-        """The k rows nearest to every query, with `distance` and `rank`, as `knn_join` finds them.
+        """The k rows nearest to every query, with `distance` and `rank`, as `knn_join` finds them; what has no distance is left out.
 
         The cells nearest to a query are read first.  Another is read if its farthest vector's angle to the centre lets it hold
         something nearer than the k-th found.
         """
-        angle = lambda d: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.lit(1.0) - d)))
-        centres = F.array(*[vector_literal(c.tolist()) for c in self.centres])
-        own = self.rows.withColumn("_d", cosine_distance(self.vector, F.get(centres, F.col("cell")))).filter(F.col("_d").isNotNull())
-        widest = {r["cell"]: r["_r"] for r in own.groupBy("cell").agg(F.max(angle(F.col("_d"))).alias("_r")).collect()}  # one row a cell
-        radius = F.array(*[F.lit(float(widest.get(i, 0.0))) for i in range(len(self.centres))])
-        cells = F.array_sort(F.transform(centres, lambda c, i: F.struct(F.coalesce(cosine_distance(query_vector, c), F.lit(2.0)).alias("d"), i.alias("i"))))
-        asked = queries.select(query_id, query_vector, F.posexplode(cells).alias("_pos", "_c")).select(query_id, query_vector, "_pos", F.col("_c.d").alias("_d"), F.col("_c.i").alias("cell"))
-        w = Window.partitionBy(query_id).orderBy("distance", self.key)
-
-        def read(wanted: DataFrame) -> DataFrame:
-            pairs = self.rows.join(wanted.select(query_id, query_vector, "cell"), "cell").withColumn("distance", cosine_distance(self.vector, query_vector))
-            return pairs.filter(F.col("distance").isNotNull()).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-        first = read(asked.filter(F.col("_pos") < probes))
-        bound = first.groupBy(query_id).agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("_far"))
-        rest = asked.filter(F.col("_pos") >= probes).join(bound, query_id, "left")
-        near = angle(F.col("_d")) - F.get(radius, F.col("cell")) <= angle(F.col("_far")) + 1e-6
-        more = read(rest.filter(F.col("_far").isNull() | near))
-        return first.unionByName(more).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        import numpy as np
+
+        n = len(self.centres)
+        angles = self.rows.select(nearest.placed(F.col(self.vector), self.centres).alias("p")).filter("p.angle is not null")
+        widest = {r["cell"]: r["_r"] for r in angles.groupBy("p.cell").agg(F.max("p.angle").alias("_r")).collect()}  # one row a cell
+        radius = np.array([widest.get(i, -np.inf) for i in range(n)])
+        asked = queries.select(query_id, query_vector).toArrow()  # a stated, small query set
+        vectors = nearest.Vectors(asked.column(query_vector), self.centres.shape[1])
+        given = vectors.kind == nearest.GIVEN
+        angle = np.zeros((len(asked), n))
+        angle[given] = nearest.angles(nearest.apart(vectors, self.centres))[vectors.of[given]]
+        first = (angle.argsort(axis=1, kind="stable").argsort(axis=1) < probes) & given[:, None]
+
+        def read(cells) -> DataFrame:
+            return nearest.nearest(self.rows, asked, k, self.vector, self.key, query_vector, query_id, "_place", cells)
+
+        near = first_of(read(first), k, self.key, "_place")
+        bound = near.groupBy("_place").agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("_far")).toArrow()  # one row a query
+        far = np.full(len(asked), np.pi)
+        far[bound.column("_place").to_numpy()] = nearest.angles(bound.column("_far").to_numpy().astype(float))
+        far[np.isnan(far)] = np.pi
+        more = ~first & given[:, None] & (angle - radius <= far[:, None] + 1e-6)
+        return first_of(read(first).unionByName(read(more)).drop("_place"), k, self.key, query_id)

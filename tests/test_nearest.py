@@ -45,4 +45,15 @@ def test_knn_join_makes_no_pairs(spark):
     assert "Join" not in plan(library.knn_join(spark, "/root/testdata/sf0.001"))
 
 
+def test_ann_makes_no_pairs(spark):
+    assert "Join" not in plan(library.ann_ivf(spark, "/root/testdata/sf0.001"))
+
+
+def test_ann_finds_all_among_equal_vectors(spark, tmp_path):
+    vectors = many()
+    vectors[7], vectors[11] = None, [0.0, 0.0, 0.0]
+    want = folder(spark, tmp_path / "a", vectors)
+    assert plain(library.ann_ivf(spark, str(tmp_path / "a")).collect()) == want
+
+
 pytestmark = pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
